@@ -100,6 +100,8 @@ FAMILIES = [*TEMPLATES, UNKNOWN]
 VARIANTS, STEPS, RATE, DECAY = 8, 300, 4.0, 1e-4
 MIN_PROBABILITY = 0.5
 MIN_SHARED = 0.5
+#: Three words at least: "mit" is also a German word.
+MIN_GRAMS = 5
 #: A paragraph is a line; one of more words is read in blocks of BLOCK words, half overlapping.
 BLOCK = 40
 #: A line without any of these can't hold a notice of the families above.
@@ -223,9 +225,10 @@ def classify(docs: DataFrame) -> DataFrame:
         F.element_at(F.array(*(F.lit(f) for f in FAMILIES)), F.col("k")).alias("family"),
         (1 / F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))).alias("probability"),
         (F.element_at("t", F.col("k")) / F.col("n")).alias("shared"),
+        "n",
     )
-    confirmed = (F.col("family") != UNKNOWN) & (F.col("probability") >= MIN_PROBABILITY) & (F.col("shared") >= MIN_SHARED)
-    return blocks.select("doc_id", "line", "block", "said").join(told.withColumn("confirmed", confirmed), "said").drop("said")
+    confirmed = (F.col("family") != UNKNOWN) & (F.col("probability") >= MIN_PROBABILITY) & (F.col("shared") >= MIN_SHARED) & (F.col("n") >= MIN_GRAMS)
+    return blocks.select("doc_id", "line", "block", "said").join(told.withColumn("confirmed", confirmed).drop("n"), "said").drop("said")
 
 
 def scan(docs: DataFrame) -> DataFrame:
