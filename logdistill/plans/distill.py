@@ -126,7 +126,7 @@ def _fold(o: Options, what: str, estimate=None):
             out = pd.DataFrame({"out_no": range(len(r.out)), "text": [t for t, _ in r.out], "score": [float(x) for _, x in r.out]})
             out["tokens"] = [-(-len(t.split()) * 13 // 10) for t in out["text"]]
         out.insert(0, "stream_id", stream)
-        return out
+        return out.astype({c: object for c in out.columns if pd.api.types.is_string_dtype(out[c])})
 
     return run
 

@@ -49,7 +49,8 @@ def reduce_stream(lines: DataFrame, options: Options | None = None, idle: str =
         else:
             state.update((pickle.dumps((fold, sent + len(out))),))
             state.setTimeoutDuration(wait)
-        yield pd.DataFrame({"stream_id": [key[0]] * len(out), "out_no": range(sent, sent + len(out)), "text": [t for t, _ in out], "score": [float(s) for _, s in out]})
+        told = pd.DataFrame({"stream_id": [key[0]] * len(out), "out_no": range(sent, sent + len(out)), "text": [t for t, _ in out], "score": [float(s) for _, s in out]})
+        yield told.astype({"stream_id": object, "text": object})
 
     return scored(lines, o, sources=False).groupBy("stream_id").applyInPandasWithState(
         step, OUTPUT, "fold binary", "append", GroupStateTimeout.ProcessingTimeTimeout
