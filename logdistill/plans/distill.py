@@ -123,10 +123,11 @@ def _fold(o: Options, what: str, estimate=None):
             for c in ("own_input_tokens", "own_output_tokens"):
                 out[c] = out[c].astype("Int64")
         else:
-            out = pd.DataFrame({"out_no": range(len(r.out)), "text": [t for t, _ in r.out], "score": [float(x) for _, x in r.out]})
-            out["tokens"] = [-(-len(t.split()) * 13 // 10) for t in out["text"]]
+            out = pd.DataFrame({"out_no": range(len(r.out)), "text": pd.Series([t for t, _ in r.out], dtype=object), "score": pd.Series([x for _, x in r.out], dtype=float)})
+            out["tokens"] = pd.Series([-(-len(t.split()) * 13 // 10) for t, _ in r.out], dtype="int64")
         out.insert(0, "stream_id", stream)
-        return out.astype({c: object for c in out.columns if pd.api.types.is_string_dtype(out[c])})
+        texts = [c for c in ("stream_id", "text", "sanitized", "reason", "detected_format") if c in out]
+        return out.astype({c: object for c in texts})  # an empty column would have no text type
 
     return run
 
