@@ -15,14 +15,18 @@ words have one shingle, the whole text. Texts with the same words form one class
 Candidates. A sketch value is a bucket of classes. (1) Every class is paired with
 its bucket's smallest class: a star, linear in the bucket, which joins large
 groups of copies. (2) Buckets that still hold several components are compared in
-blocks of ``BLOCK`` x ``BLOCK`` sketches inside a task, which emits only pairs
-of different components that agree in ``AGREE`` sketches and whose sizes allow a
-link. At similarity 0.8 a pair agrees in about 10 of 20 sketches and in fewer
-than two with a probability near 1e-5; nothing is capped or sampled.
+blocks of ``BLOCK`` x ``BLOCK`` sketches inside a task. Pairs of different
+components that agree in ``AGREE`` sketches and whose sizes allow a link are
+candidates. Classes without a candidate leave; the rest get their texts, and the
+task checks the pairs and joins components as it goes, so it emits the edges of
+a forest, never the pairs. At similarity 0.8 a pair agrees in about 10 of 20
+sketches and in fewer than two with a probability near 1e-5; nothing is capped
+or sampled.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +42,13 @@ SKETCHES = 20
 PER_SKETCH = 3
 AGREE = 2
 BLOCK = 512
+#: What a group of compared sketches is named by.
+PLACE = ["j", "key", "low", "high"]
 #: Similarity of at least NUM / DEN.
 NUM, DEN = 4, 5
+#: Words whose codes a Python worker keeps.
+CACHED_WORDS = 400_000
+_CODES: dict[bytes, int] = {}
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
 _SEEDS = np.random.default_rng(20190705).integers(1, 2**63, SKETCHES).astype(np.uint64)[:, None]
 _PLACES = np.random.default_rng(5).integers(1, 2**63, K).astype(np.uint64) | np.uint64(1)
@@ -51,12 +60,25 @@ def _scatter(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def codes_of(words: list[bytes]) -> np.ndarray:
+    """A 64-bit number for each word that depends on the word alone, in every process. Known words are cached; a full cache starts afresh."""
+    try:
+        return np.fromiter(map(_CODES.__getitem__, words), np.uint64, len(words))
+    except KeyError:
+        if len(_CODES) > CACHED_WORDS:
+            _CODES.clear()
+        new = [w for w in set(words) if w not in _CODES]
+        _CODES.update(zip(new, pd.util.hash_array(np.array(new, dtype=object), categorize=False).tolist()))
+    return np.fromiter(map(_CODES.__getitem__, words), np.uint64, len(words))
+
+
+def split_words(text: str | None) -> list[bytes]:
+    """The words of a text: what ASCII white space separates."""
+    return (text or "").encode("utf-8", "replace").split()
+
+
 def word_codes(text: str | None) -> np.ndarray:
-    """A 64-bit number for each word (split at ASCII white space) that depends on the word alone, in every process."""
-    words = (text or "").encode("utf-8", "replace").split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    return pd.util.hash_array(np.array(words, dtype=object), categorize=len(words) > 50)
+    return codes_of(split_words(text))
 
 
 def shingles(codes: np.ndarray) -> np.ndarray:
@@ -65,9 +87,10 @@ def shingles(codes: np.ndarray) -> np.ndarray:
     if n == 0:
         return codes
     width = min(K, n)
+    mixed = _scatter(codes)
     out = np.zeros(n - width + 1, dtype=np.uint64)
     for j in range(width):
-        out += _scatter(codes[j : j + len(out)]) * _PLACES[j]
+        out += mixed[j : j + len(out)] * _PLACES[j]
     return _scatter(out + np.uint64(width))
 
 
@@ -127,21 +150,27 @@ def linked(text_a: str | None, text_b: str | None) -> bool:
     return edits_within(a.tolist(), b.tolist(), total * (DEN - NUM) // DEN) is not None
 
 
+def _digest(words: list[bytes]) -> str:
+    return hashlib.md5(b" ".join(words)).hexdigest()
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, digest (of the words), n (distinct shingles), sketch of each row that has an id and words."""
     schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("n", pa.int32()), ("sketch", pa.list_(pa.int64()))])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
-        for b in slices(it):
-            rows = []
+        for b in slices(it, 128):
+            rows, values = [], []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                grams = shingles(word_codes(text))
-                if len(grams):
-                    digest = hashlib.md5(b" ".join(text.encode("utf-8", "replace").split())).hexdigest()
-                    rows.append((doc, digest, len(np.unique(grams)), sketch(grams)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+                words = split_words(text)
+                if words:
+                    grams = shingles(codes_of(words))
+                    values.append(sketch(grams))
+                    rows.append((doc, _digest(words), len(np.unique(grams))))
+            ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * SKETCHES)
+            flat = pa.array(np.concatenate(values) if values else np.zeros(0, dtype=np.int64))
+            columns = [pa.array([r[i] for r in rows], schema.field(i).type) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, flat)], names=schema.names)
 
     picked = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
     return picked.mapInArrow(batches, "doc_id long, digest string, n int, sketch array<long>")
@@ -162,48 +191,141 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _texts(docs: DataFrame, ids: DataFrame, sk: DataFrame) -> DataFrame:
     """id and text of classes; a class is named after its smallest document. Of several rows of that id the one of the class counts."""
-    words = F.md5(F.concat_ws(" ", F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).cast("binary"))
-    known = ids.join(sk.select("id", "digest"), "id")
-    found = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(known, "id").where(words == F.col("digest"))
-    return found.dropDuplicates(["id"]).select("id", "text")
 
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(it):
+            keep = [_digest(split_words(t)) == d for t, d in zip(b.column("text").to_pylist(), b.column("digest").to_pylist())]
+            yield b.select(["id", "text"]).filter(pa.array(keep, pa.bool_()))
 
-def _in_blocks(members: DataFrame) -> DataFrame:
-    """Pairs of different components within buckets, from members(j, key, id, component, n, sketch)."""
-    sizes = members.groupBy("j", "key").agg(F.count(F.lit(1)).alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = members.join(sizes, ["j", "key"]).withColumn("blocks", blocks)
+    known = ids.join(sk.select("id", "digest"), "id")
+    found = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("id"), "text").join(known, "id")
+    return found.mapInArrow(batches, "id long, text string").dropDuplicates(["id"])
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups from batches sorted by PLACE, and where their groups begin and end."""
+    rest = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        if rest is not None:
+            t = pa.concat_tables([rest, t])
+        changed = np.zeros(max(0, t.num_rows - 1), dtype=bool)
+        for name in PLACE:
+            v = t.column(name).to_numpy()
+            changed |= v[1:] != v[:-1]
+        begins = np.flatnonzero(changed) + 1
+        if begins.size:
+            yield t.slice(0, begins[-1]).combine_chunks(), np.r_[0, begins]
+            t = t.slice(begins[-1])
+        rest = t
+    if rest is not None and rest.num_rows:
+        yield rest.combine_chunks(), np.array([0, rest.num_rows])
+
+
+class _Blocks:
+    """Numpy columns of a table of groups and the candidate pairs of each group."""
+
+    def __init__(self, t: pa.Table):
+        self.j, self.low, self.high, self.own, self.id, self.component, self.n = (
+            t.column(c).to_numpy() for c in ("j", "low", "high", "own", "id", "component", "n")
+        )
+        self.sketch = t.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, SKETCHES)
+
+    def candidates(self, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of the left and right block, and the matrix of candidates; a pair is told by the first bucket that holds both."""
+        rows = np.arange(begin, end)
+        one = self.low[begin] == self.high[begin]
+        left = rows if one else rows[self.own[begin:end] == self.low[begin]]
+        right = rows if one else rows[self.own[begin:end] == self.high[begin]]
+        j = self.j[begin]
+        nl, nr = self.n[left][:, None], self.n[right][None, :]
+        ok = self.component[left][:, None] != self.component[right][None, :]
+        ok &= DEN * np.minimum(nl, nr) >= NUM * np.maximum(nl, nr)
+        if one:
+            ok &= self.id[left][:, None] < self.id[right][None, :]
+        if ok.any():
+            agree = np.zeros(ok.shape, dtype=np.uint8)
+            for c in range(SKETCHES):
+                if c == j:
+                    ok &= agree == 0
+                agree += self.sketch[left, c][:, None] == self.sketch[right, c][None, :]
+            ok &= agree >= AGREE
+        return left, right, ok
+
+
+def _with_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that have a candidate in their group."""
+    for t, ends in _groups(batches):
+        blocks, keep = _Blocks(t), np.zeros(t.num_rows, dtype=bool)
+        for begin, end in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            left, right, ok = blocks.candidates(begin, end)
+            keep[left[ok.any(axis=1)]] = True
+            keep[right[ok.any(axis=0)]] = True
+        yield from t.filter(pa.array(keep)).to_batches()
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links a, b that join components, of candidates in each group; pairs of what is joined already aren't looked at."""
+    parent: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while (p := parent.get(v, v)) != v:
+            parent[v] = parent.get(p, p)
+            v = p
+        return v
+
+    for t, ends in _groups(batches):
+        blocks, edges = _Blocks(t), []
+        text, ids, component = t.column("text"), blocks.id, blocks.component.tolist()
+        codes: dict[int, np.ndarray] = {}
+        grams: dict[int, np.ndarray] = {}
+
+        def know(row: int) -> np.ndarray:
+            i = int(ids[row])
+            if i not in grams:
+                codes[i] = word_codes(text[row].as_py())
+                grams[i] = np.unique(shingles(codes[i]))
+            return grams[i]
+
+        for begin, end in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            left, right, ok = blocks.candidates(begin, end)
+            for at in np.flatnonzero(ok.any(axis=1)).tolist():
+                x = int(left[at])
+                mine = root(component[x])
+                others = [y for y in right[ok[at]].tolist() if root(component[y]) != mine]
+                if not others:
+                    continue
+                a = know(x)
+                b = [know(y) for y in others]
+                sizes = np.array([len(v) for v in b])
+                every = np.concatenate(b)
+                found = a[np.minimum(np.searchsorted(a, every), len(a) - 1)] == every
+                both = np.add.reduceat(found.astype(np.int64), np.r_[0, np.cumsum(sizes)[:-1]])
+                near = DEN * both >= NUM * (len(a) + sizes - both)
+                for k in np.flatnonzero(near).tolist():
+                    y = others[k]
+                    p, q = root(component[x]), root(component[y])
+                    if p == q:
+                        continue
+                    u, v = codes[int(ids[x])], codes[int(ids[y])]
+                    if edits_within(u.tolist(), v.tolist(), (len(u) + len(v)) * (DEN - NUM) // DEN) is not None:
+                        parent[max(p, q)] = min(p, q)
+                        edges.append((int(ids[x]), int(ids[y])))
+        yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def _in_blocks(members: DataFrame, sk: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links that join different components within buckets, from members(j, key, id, component, size)."""
+    dealt = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).join(sk.select("id", "n", "sketch"), "id")
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(
         "j", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "component", "n", "sketch"
     )
-
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        low, high, j = pdf["low"].iat[0], pdf["high"].iat[0], pdf["j"].iat[0]
-        left = pdf[pdf["own"] == low]
-        right = left if low == high else pdf[pdf["own"] == high]
-        out_a, out_b = [], []
-        if len(left) and len(right):
-            sl, sr = np.stack(left["sketch"].to_list()), np.stack(right["sketch"].to_list())
-            il, ir = left["id"].to_numpy(), right["id"].to_numpy()
-            cl, cr = left["component"].to_numpy(), right["component"].to_numpy()
-            nl, nr = left["n"].to_numpy(), right["n"].to_numpy()
-            for i in range(len(il)):
-                fits = (cr != cl[i]) & (ir != il[i]) & (DEN * np.minimum(nr, nl[i]) >= NUM * np.maximum(nr, nl[i]))
-                if low == high:
-                    fits &= ir > il[i]
-                at = np.flatnonzero(fits)
-                same = sr[at] == sl[i]
-                # A pair is told by the first bucket that holds both.
-                ok = (same.sum(axis=1) >= AGREE) & (same[:, :j].sum(axis=1) == 0)
-                out_a.append(np.minimum(ir[at[ok]], il[i]))
-                out_b.append(np.maximum(ir[at[ok]], il[i]))
-        a = np.concatenate(out_a) if out_a else np.zeros(0, dtype=np.int64)
-        b = np.concatenate(out_b) if out_b else np.zeros(0, dtype=np.int64)
-        return pd.DataFrame({"a": a, "b": b})
-
-    return dealt.groupBy("j", "key", "low", "high").applyInPandas(pairs, "a long, b long")
+    schema = "j int, key long, low int, high int, own int, id long, component long, n int, sketch array<long>"
+    some = cut(dealt.repartition(*PLACE).sortWithinPartitions(*PLACE).mapInArrow(_with_candidates, schema))
+    with_text = some.join(texts, "id").repartition(*PLACE).sortWithinPartitions(*PLACE)
+    return with_text.mapInArrow(_forest, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -220,28 +342,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sk = cut(firsts.join(one, "digest").select("id", "digest", "n", "sketch"))
     buckets = sk.select("id", F.posexplode("sketch").alias("j", "key"))
     stars = buckets.groupBy("j", "key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    stars = cut(stars)
-    pairs = buckets.join(stars, ["j", "key"]).where("id > a").select("a", F.col("id").alias("b")).distinct()
+    multi = cut(buckets.join(stars, ["j", "key"]))
+    texts = cut(_texts(docs, multi.select("id").distinct(), sk))
+    pairs = multi.where("id > a").select("a", F.col("id").alias("b")).distinct()
     left = sk.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     right = sk.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
     agree = F.size(F.filter(F.zip_with("s_a", "s_b", lambda x, y: x == y), lambda x: x))
     sized = f"{DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b)"
-    pairs = cut(pairs.join(right, "b").join(left, "a").where(sized).where(agree >= AGREE).select("a", "b"))
-
-    def texts_of(p: DataFrame) -> DataFrame:
-        needed = p.select(F.col("a").alias("id")).union(p.select("b")).distinct()
-        return cut(_texts(docs, needed, sk))
+    pairs = pairs.join(right, "b").join(left, "a").where(sized).where(agree >= AGREE).select("a", "b")
 
-    links = cut(_verified(pairs, texts_of(pairs)))
+    links = cut(_verified(pairs, texts))
     label = components(links)
-    now = sk.join(label, "id", "left").select("id", "n", "sketch", F.coalesce("component", "id").alias("component"))
-    members = now.select("id", "n", "sketch", "component", F.posexplode("sketch").alias("j", "key"))
+    now = multi.select("j", "key", "id").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     # Buckets of several components; a member of a settled bucket goes no further.
-    mixed = members.groupBy("j", "key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
-    more = cut(_in_blocks(members.join(mixed.select("j", "key"), ["j", "key"])).distinct())
-    tried = more.join(pairs, ["a", "b"], "left_anti")
-    more_links = _verified(tried, texts_of(tried))
-    label = components(links.union(more_links))
+    mixed = now.groupBy("j", "key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("size"))
+    members = now.join(mixed.where("c0 <> c1").select("j", "key", "size"), ["j", "key"])
+    label = components(links.union(_in_blocks(members, sk, texts)))
     named = ids.join(firsts.withColumnRenamed("id", "class_id"), "digest").join(
         label.select(F.col("id").alias("class_id"), "component"), "class_id", "left"
     )
