@@ -22,7 +22,10 @@ def reduce_stream(lines: DataFrame, options: Options | None = None, idle: str =
     Lines of a micro-batch are put in order; later batches must hold later lines.
     A stream ends when nothing comes for ``idle`` (pending groups and the PEM
     warning go out then), or with a row whose value is null. Passes that need the
-    whole output and boosts of running source counts belong to batch jobs.
+    whole output and boosts of running source counts belong to batch jobs. Idle
+    time is processing time, for which Spark keeps running batches without data:
+    start the query with a processing-time trigger or ``once``; with
+    ``availableNow`` it doesn't end.
     """
     o = options or Options()
     if o.collapse_blocks is not None or o.max_tokens is not None or o.multiline != "off":
