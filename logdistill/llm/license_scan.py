@@ -7,6 +7,12 @@ fitted on held-out notices calibrates its probabilities. On the main path the
 weights are a small table joined to the n-grams of candidate paragraphs; a
 paragraph counts as a licence if its class is probable enough and enough of its
 n-grams stand in that family's templates.
+
+A notice inside a longer line is diluted by the words around it, so windows of
+several widths around each anchor word are scored as well. A window needs more
+than a paragraph, as prose holds phrases such as "of the license": most of one
+template, or nearly only words of its family that name it or are many. Of
+overlapping notices that with the most template n-grams over others counts.
 """
 
 from __future__ import annotations
@@ -15,9 +21,11 @@ import re
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logdistill.llm.common import cut
+
 #: Labelled notices by family.
 TEMPLATES: dict[str, list[str]] = {
     "apache": [
@@ -107,6 +115,14 @@ BLOCK = 40
 #: A line without any of these can't hold a notice of the families above.
 ANCHOR = r"(?i)licen[sc]e|copyright|rights\s+reserved|redistribut|spdx|gnu|permission|mozilla public|creative commons|apache|proprietary|confidential|\b(?:mit|bsd|gpl|lgpl|mpl)\b"
 WORD = r"[a-z0-9]+"
+#: Every text that ANCHOR matches has such a word.
+ANCHOR_WORD = r"licen[sc]e|copyright|^reserved$|redistribut|spdx|gnu|permission|^mozilla$|^commons$|apache|proprietary|confidential|^(?:mit|bsd|gpl|lgpl|mpl)$"
+#: Windows around an anchor word: widths, and (words before the anchor, width) in steps of a quarter.
+WIDTHS = (3, 4, 5, 6, 8, 11, 15, 20, 28, 40)
+WINDOWS = [(before, w) for w in WIDTHS for before in range(0, w, max(1, w // 4))]
+#: A window has this share of a template's n-grams, or else this share of its own in the family's templates and the family's name or many n-grams.
+MIN_COVER, MIN_PURE, MANY_GRAMS = 0.6, 0.75, 20
+NAMES = {"apache": "apache", "mit": "mit", "gpl": "gpl|gnu", "lgpl": "lgpl|lesser", "bsd": "bsd", "mpl": "mpl|mozilla", "cc": "cc|commons"}
 
 
 def ngrams(words: list[str]) -> set[str]:
@@ -199,17 +215,16 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return cut_out.where(F.array_join("words", " ").rlike(ANCHOR))
 
 
-def classify(docs: DataFrame) -> DataFrame:
-    """doc_id, line, block, family, probability, shared, confirmed of each candidate block."""
-    c = classifier()
-    table = _table(docs.sparkSession, c)
-    w = F.col("words")
+def _grams(w: Column) -> Column:
     pairs = F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))
-    grams = F.array_distinct(F.concat(w, F.when(F.size(w) > 1, pairs).otherwise(F.array().cast("array<string>"))))
-    # Blocks of the same words are scored once, however often a notice comes.
-    blocks = paragraphs(docs).withColumn("said", F.array_join(w, " "))
-    unique = blocks.groupBy("said").agg(F.first("words").alias("words"))
-    exploded = unique.select("said", grams.alias("grams")).select("said", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    return F.array_distinct(F.concat(w, F.when(F.size(w) > 1, pairs).otherwise(F.array().cast("array<string>"))))
+
+
+def _told(unique: DataFrame) -> DataFrame:
+    """said, family, probability, shared, n (n-grams) of each row of ``unique(said, words)``, and confirmed as a paragraph."""
+    c = classifier()
+    table = _table(unique.sparkSession, c)
+    exploded = unique.select("said", _grams(F.col("words")).alias("grams")).select("said", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
     k = range(len(FAMILIES))
     met = exploded.join(F.broadcast(table), "gram", "left").groupBy("said").agg(
         F.max("n").alias("n"),
@@ -228,20 +243,90 @@ def classify(docs: DataFrame) -> DataFrame:
         "n",
     )
     confirmed = (F.col("family") != UNKNOWN) & (F.col("probability") >= MIN_PROBABILITY) & (F.col("shared") >= MIN_SHARED) & (F.col("n") >= MIN_GRAMS)
-    return blocks.select("doc_id", "line", "block", "said").join(told.withColumn("confirmed", confirmed).drop("n"), "said").drop("said")
+    return told.withColumn("confirmed", confirmed)
+
+
+def classify(docs: DataFrame) -> DataFrame:
+    """doc_id, line, block, family, probability, shared, confirmed of each candidate block."""
+    # Blocks of the same words are scored once, however often a notice comes.
+    blocks = paragraphs(docs).withColumn("said", F.array_join("words", " "))
+    told = _told(blocks.groupBy("said").agg(F.first("words").alias("words")))
+    return blocks.select("doc_id", "line", "block", "said").join(told.drop("n"), "said").drop("said")
+
+
+def _spans(docs: DataFrame) -> DataFrame:
+    """doc_id, row, line, n_blocks and spans(start, end, block, said) of each candidate line: its blocks and windows that half of the n-grams of stand in templates, without which none is confirmed."""
+    lines = docs.withColumn("row", F.monotonically_increasing_id()).where(F.col("text").rlike(ANCHOR))
+    lines = lines.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line", "words")).where(F.col("words").rlike(ANCHOR))
+    w, n, half = F.col("words"), F.size("words"), BLOCK // 2
+    lines = lines.withColumn("words", F.regexp_extract_all(F.lower("words"), F.lit(WORD), F.lit(0))).where(n > 0)
+
+    def span(start: Column, end: Column) -> Column:
+        return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
+
+    def words(s: Column) -> Column:
+        return F.slice(w, s["start"] + 1, s["end"] - s["start"])
+
+    last = F.greatest(F.ceil((n - BLOCK) / half), F.lit(0)).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: span(b * half, F.least(b * half + BLOCK, n)))
+    lines = lines.withColumn("blocks", F.filter(blocks, lambda s: F.array_join(words(s), " ").rlike(ANCHOR)))
+    anchors = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, i).rlike(ANCHOR_WORD))
+    around = F.transform(
+        anchors,
+        lambda i: F.transform(
+            F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in WINDOWS)),
+            lambda o: span(F.greatest(i - o["a"], F.lit(0)), F.least(i - o["a"] + o["b"], n)),
+        ),
+    )
+    known = sorted(set().union(*classifier().templates.values()))
+
+    def likely(s: Column) -> Column:
+        return F.aggregate(_grams(words(s)), F.lit(0), lambda a, g: a + F.when(g.isin(known), 1).otherwise(-1)) >= 0
+
+    def said(spans: Column, block: bool) -> Column:
+        return F.transform(F.filter(spans, likely), lambda s: F.struct(s["start"], s["end"], F.lit(block).alias("block"), F.array_join(words(s), " ").alias("said")))
+
+    both = F.concat(said(F.col("blocks"), True), said(F.array_distinct(F.flatten(around)), False))
+    return lines.select("doc_id", "row", "line", F.size("blocks").alias("n_blocks"), both.alias("spans"))
+
+
+def notices(spans: DataFrame) -> DataFrame:
+    """doc_id and families (one for each notice) of the lines of ``_spans`` that have any."""
+    c = classifier()
+    each = spans.select("doc_id", "row", "line", F.explode("spans").alias("s")).select("doc_id", "row", "line", "s.*")
+    unique = each.select("said").distinct().withColumn("words", F.split("said", " "))
+    covers, names = F.lit(0.0), F.lit(False)
+    for family, sentences in TEMPLATES.items():
+        parts = [ngrams(words_of(x)) for x in sentences]
+        shares = [F.size(F.array_intersect("grams", F.lit(sorted(p)))) / len(p) for p in parts]
+        covers = F.when(F.col("family") == family, F.greatest(*shares)).otherwise(covers)
+        if family in NAMES:
+            names = F.when(F.col("family") == family, F.col("said").rlike(rf"\b(?:{NAMES[family]})\b")).otherwise(names)
+    # The paragraph's rule holds for windows too.
+    told = _told(unique).where("confirmed").withColumn("grams", _grams(F.split("said", " ")))
+    pure = (F.col("shared") >= MIN_PURE) & ((names & F.col("said").contains("licen")) | (F.col("n") >= MANY_GRAMS))
+    told = told.select("said", "family", F.round((2 * F.col("shared") - 1) * F.col("n")).cast("int").alias("net"), ((covers >= MIN_COVER) | pure).alias("alone"))
+    found = each.join(told, "said").where("block or alone")
+    best = F.sort_array(F.collect_list(F.struct((-F.col("net")).alias("rank"), "start", "end", "family")))
+    per = found.groupBy("doc_id", "row", "line").agg(best.alias("all"))
+    none = F.array().cast("array<struct<rank:int,start:int,end:int,family:string>>")
+    chosen = F.aggregate("all", none, lambda kept, x: F.when(F.exists(kept, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])), kept).otherwise(F.concat(kept, F.array(x))))
+    return per.select("doc_id", chosen["family"].alias("families"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One row for each distinct doc_id of ``docs(doc_id, text)``: n_candidates, n_licenses (confirmed blocks), licenses (families in order, comma-joined).
+    """One row for each distinct doc_id of ``docs(doc_id, text)``: n_candidates (blocks), n_licenses (notices that don't overlap), licenses (families in order, comma-joined).
 
     Null and empty texts have none; several rows of one id, null ids too, are
     taken as parts of one document.
     """
-    found = classify(docs.select("doc_id", "text"))
-    per = found.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_candidates"),
-        F.count_if("confirmed").alias("n_licenses"),
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("licenses"),
+    spans = cut(_spans(docs.select("doc_id", "text")))
+    of_lines = spans.select("doc_id", "n_blocks", F.array().cast("array<string>").alias("families"))
+    both = of_lines.unionByName(notices(spans).withColumn("n_blocks", F.lit(0)))
+    per = both.groupBy("doc_id").agg(
+        F.sum("n_blocks").alias("n_candidates"),
+        F.sum(F.size("families")).alias("n_licenses"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("families")))), ",").alias("licenses"),
     )
     ids = docs.select(F.col("doc_id").alias("id")).distinct()
     out = ids.join(per, F.col("id").eqNullSafe(F.col("doc_id")), "left")

@@ -176,6 +176,20 @@ def test_license(spark):
         assert r.family == family and abs(r.probability - p) < 1e-9 and abs(r.shared - shared) < 1e-9
 
 
+def test_license_inside_long_lines(spark):
+    rng, texts, want = random.Random(8), [], []
+    for family, sentences in license_scan.TEMPLATES.items():
+        for s in [*sentences, *(["the code is licensed under MIT"] if family == "mit" else [])]:
+            for before, after in ((0, 60), (30, 30), (60, 0)):
+                texts.append(f"{words(rng, before)} {s} {words(rng, after)}")
+                want.append((1, family))
+    both = f"{words(rng, 50)} Licensed under the Apache License, Version 2.0. {words(rng, 9)} All rights reserved. {words(rng, 50)} Released under the MIT License."
+    texts += [both, f"{words(rng, 30)} of the license and a copy of the license {words(rng, 30)}", *(f"{words(rng, 30)} {s} {words(rng, 30)}" for s in license_scan.OTHERS)]
+    want += [(3, "apache,mit,proprietary"), *[(0, "")] * (1 + len(license_scan.OTHERS))]
+    got = rows(license_scan.scan(make(spark, texts)))
+    assert [(got[i]["n_licenses"], got[i]["licenses"]) for i in range(len(texts))] == want
+
+
 def test_packing(spark):
     rng = random.Random(5)
     sizes = [rng.randint(1, 64) for _ in range(400)]
