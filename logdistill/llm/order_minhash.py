@@ -4,7 +4,9 @@ A text is a sequence of words. Its five-word k-mers are labelled with how often
 they came before, so repeats count. Each of ``SKETCHES`` sketches takes the
 ``PER_SKETCH`` labelled k-mers of least seeded hash and keeps them in text order:
 two texts agree in a sketch if they share these k-mers *and* their order, which
-makes agreement sensitive to edit similarity, not only to shared content.
+makes agreement sensitive to edit similarity, not only to shared content. Labels
+and order lower agreement where a passage comes twice, so each sketch also has an
+order-blind value: the ``PER_SKETCH`` distinct k-mers of least hash, as a set.
 
 Two texts are linked if both hold: the Jaccard similarity of their sets of
 five-word shingles is at least 0.8, and so is their alignment similarity
@@ -12,16 +14,17 @@ five-word shingles is at least 0.8, and so is their alignment similarity
 found by alignment in a band no wider than d can be. Texts of fewer than five
 words have one shingle, the whole text. Texts with the same words form one class.
 
-Candidates. A sketch value is a bucket of classes. (1) Every class is paired with
+Candidates. An order-blind value is a bucket of classes. (1) Every class is paired with
 its bucket's smallest class: a star, linear in the bucket, which joins large
 groups of copies. (2) Buckets that still hold several components are compared in
 blocks of ``BLOCK`` x ``BLOCK`` sketches inside a task. Pairs of different
-components that agree in ``AGREE`` sketches and whose sizes allow a link are
-candidates. Classes without a candidate leave; the rest get their texts, and the
+components that agree in ``AGREE`` values of either kind and whose sizes allow a
+link are candidates. Classes without a candidate leave; the rest get their texts, and the
 task checks the pairs and joins components as it goes, so it emits the edges of
-a forest, never the pairs. At similarity 0.8 a pair agrees in about 10 of 20
-sketches and in fewer than two with a probability near 1e-5; nothing is capped
-or sampled.
+a forest, never the pairs. A linked pair has a Jaccard similarity of 0.8 at least,
+whatever its order, so it agrees in about 10 of 20 order-blind values and in fewer
+than two with a probability near 1e-5 (up to 5e-4 for texts of under ten words);
+nothing is capped or sampled.
 """
 
 from __future__ import annotations
@@ -42,6 +45,8 @@ SKETCHES = 20
 PER_SKETCH = 3
 AGREE = 2
 BLOCK = 512
+#: Order-blind values first, then the ordered ones.
+VALUES = 2 * SKETCHES
 #: What a group of compared sketches is named by.
 PLACE = ["j", "key", "low", "high"]
 #: Similarity of at least NUM / DEN.
@@ -94,8 +99,22 @@ def shingles(codes: np.ndarray) -> np.ndarray:
     return _scatter(out + np.uint64(width))
 
 
+def _least(grams: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Where the PER_SKETCH k-mers of least rank are, for each sketch."""
+    n = len(grams)
+    few = min(PER_SKETCH, n)
+    return np.argpartition(ranks, few - 1, axis=1)[:, :few] if n > few else np.tile(np.arange(n), (SKETCHES, 1))
+
+
+def _chained(chosen: np.ndarray) -> np.ndarray:
+    out = np.zeros(SKETCHES, dtype=np.uint64)
+    for i in range(chosen.shape[1]):
+        out = _scatter(out * _MIX[0] + chosen[:, i])
+    return out
+
+
 def sketch(grams: np.ndarray) -> np.ndarray:
-    """SKETCHES int64 values of a text's shingle hashes (one at least)."""
+    """VALUES int64 values of a text's shingle hashes (one at least): the order-blind ones, then the ordered ones."""
     n = len(grams)
     order = np.argsort(grams, kind="stable")
     ordered = grams[order]
@@ -105,13 +124,11 @@ def sketch(grams: np.ndarray) -> np.ndarray:
         begin = np.maximum.accumulate(np.where(first, np.arange(n), 0))
         labels[order] = (np.arange(n) - begin).astype(np.uint64)
     ranks = _scatter((grams + labels * _MIX[0])[None, :] ^ _SEEDS)
-    few = min(PER_SKETCH, n)
-    chosen = np.argpartition(ranks, few - 1, axis=1)[:, :few] if n > few else np.tile(np.arange(n), (SKETCHES, 1))
+    chosen = _least(grams, ranks)
     chosen.sort(axis=1)  # text order
-    out = np.zeros(SKETCHES, dtype=np.uint64)
-    for i in range(few):
-        out = _scatter(out * _MIX[0] + grams[chosen[:, i]])
-    return out.view(np.int64)
+    once = labels == 0
+    blind = chosen if once.all() else np.flatnonzero(once)[_least(grams[once], ranks[:, once])]
+    return np.r_[_chained(np.sort(grams[blind], axis=1)), _chained(grams[chosen])].view(np.int64)
 
 
 def edits_within(a: list, b: list, most: int) -> int | None:
@@ -167,7 +184,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     grams = shingles(codes_of(words))
                     values.append(sketch(grams))
                     rows.append((doc, _digest(words), len(np.unique(grams))))
-            ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * SKETCHES)
+            ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * VALUES)
             flat = pa.array(np.concatenate(values) if values else np.zeros(0, dtype=np.int64))
             columns = [pa.array([r[i] for r in rows], schema.field(i).type) for i in range(3)]
             yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, flat)], names=schema.names)
@@ -229,7 +246,7 @@ class _Blocks:
         self.j, self.low, self.high, self.own, self.id, self.component, self.n = (
             t.column(c).to_numpy() for c in ("j", "low", "high", "own", "id", "component", "n")
         )
-        self.sketch = t.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, SKETCHES)
+        self.sketch = t.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, VALUES)
 
     def candidates(self, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows of the left and right block, and the matrix of candidates; a pair is told by the first bucket that holds both."""
@@ -245,7 +262,7 @@ class _Blocks:
             ok &= self.id[left][:, None] < self.id[right][None, :]
         if ok.any():
             agree = np.zeros(ok.shape, dtype=np.uint8)
-            for c in range(SKETCHES):
+            for c in range(VALUES):
                 if c == j:
                     ok &= agree == 0
                 agree += self.sketch[left, c][:, None] == self.sketch[right, c][None, :]
@@ -340,7 +357,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     one = rows.groupBy("digest").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     firsts = ids.groupBy("digest").agg(F.min("doc_id").alias("id"))
     sk = cut(firsts.join(one, "digest").select("id", "digest", "n", "sketch"))
-    buckets = sk.select("id", F.posexplode("sketch").alias("j", "key"))
+    buckets = sk.select("id", F.posexplode(F.slice("sketch", 1, SKETCHES)).alias("j", "key"))
     stars = buckets.groupBy("j", "key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
     multi = cut(buckets.join(stars, ["j", "key"]))
     texts = cut(_texts(docs, multi.select("id").distinct(), sk))

@@ -69,6 +69,16 @@ def test_near_duplicates(spark):
     assert order_minhash.near_duplicates(make(spark, [])).count() == 0
 
 
+def test_near_duplicates_with_a_repeated_passage(spark):
+    rng, texts = random.Random(12), []
+    for _ in range(100):
+        a = words(rng, 300).split()
+        texts += [" ".join(a), " ".join(a[100:247] + a)]
+    assert all(order_minhash.linked(a, b) for a, b in zip(texts[::2], texts[1::2]))
+    got = rows(order_minhash.near_duplicates(make(spark, texts)))
+    assert [got[i]["component_id"] for i in range(200)] == [i - i % 2 for i in range(200)]
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 16))
