@@ -221,7 +221,7 @@ def telemetry_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = event_lines(spark, sf_dir).groupBy("stream_id").agg(
         F.max("line_no").alias("at"), F.sum(words(v)).alias("input_tokens"), F.sum(F.when(~L.is_ignored(v), words(v)).otherwise(0)).alias("output_tokens")
     )
-    return telemetry.totals(telemetry.newest(runs.withColumn("saved_tokens", F.col("input_tokens") - F.col("output_tokens")), 100))
+    return telemetry.totals(telemetry.newest(runs.withColumn("saved_tokens", F.col("input_tokens") - F.col("output_tokens"))))
 
 
 _RUNS = f"""
