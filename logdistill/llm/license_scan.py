@@ -113,8 +113,12 @@ MIN_GRAMS = 5
 #: A paragraph is a line; one of more words is read in blocks of BLOCK words, half overlapping.
 BLOCK = 40
 #: A line without any of these can't hold a notice of the families above.
-ANCHOR = r"(?i)licen[sc]e|copyright|rights\s+reserved|redistribut|spdx|gnu|permission|mozilla public|creative commons|apache|proprietary|confidential|\b(?:mit|bsd|gpl|lgpl|mpl)\b"
+ANCHOR = r"(?i)licen[sc]e|copyright|rights\s+reserved|redistribut|spdx|gnu|permission|mozilla public|creative commons|apache|proprietary|confidential|\b(?:mit|bsd|(?:l?gpl|mpl)(?:v?[0-9]+)?)\b"
 WORD = r"[a-z0-9]+"
+#: A version written into a name ("GPLv3") is a word of its own.
+VERSIONED = r"\b(l?gpl|mpl)v?([0-9])"
+#: Lines of two words that are notices.
+SHORT = ["mit license", "mit licence", "apache license", "bsd license", "gpl license", "lgpl license", "mpl license"]
 #: Every text that ANCHOR matches has such a word.
 ANCHOR_WORD = r"licen[sc]e|copyright|^reserved$|redistribut|spdx|gnu|permission|^mozilla$|^commons$|apache|proprietary|confidential|^(?:mit|bsd|gpl|lgpl|mpl)$"
 #: Windows around an anchor word: widths, and (words before the anchor, width) in steps of a quarter.
@@ -130,7 +134,7 @@ def ngrams(words: list[str]) -> set[str]:
 
 
 def words_of(text: str) -> list[str]:
-    return re.findall(WORD, text.lower(), re.ASCII)
+    return re.findall(WORD, re.sub(VERSIONED, r"\1 \2", text.lower(), flags=re.ASCII), re.ASCII)
 
 
 class Classifier:
@@ -201,12 +205,16 @@ def _table(spark: SparkSession, c: Classifier) -> DataFrame:
     return spark.createDataFrame(rows, "gram string, w array<double>, t array<int>")
 
 
+def _words(column: str) -> Column:
+    return F.regexp_extract_all(F.regexp_replace(F.lower(column), VERSIONED, "$1 $2"), F.lit(WORD), F.lit(0))
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id, line, block and words of each candidate block; a line whose words are no more than BLOCK is one."""
     # A text without an anchor is dropped before it is split.
     lines = docs.where(F.col("text").rlike(ANCHOR)).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "words"))
     lines = lines.where(F.col("words").rlike(ANCHOR)).select(
-        "doc_id", "line", F.regexp_extract_all(F.lower("words"), F.lit(WORD), F.lit(0)).alias("words")
+        "doc_id", "line", _words("words").alias("words")
     )
     half = BLOCK // 2
     last = F.greatest(F.ceil((F.size("words") - BLOCK) / half), F.lit(0)).cast("int")
@@ -242,7 +250,7 @@ def _told(unique: DataFrame) -> DataFrame:
         (F.element_at("t", F.col("k")) / F.col("n")).alias("shared"),
         "n",
     )
-    confirmed = (F.col("family") != UNKNOWN) & (F.col("probability") >= MIN_PROBABILITY) & (F.col("shared") >= MIN_SHARED) & (F.col("n") >= MIN_GRAMS)
+    confirmed = (F.col("family") != UNKNOWN) & (F.col("probability") >= MIN_PROBABILITY) & (F.col("shared") >= MIN_SHARED) & ((F.col("n") >= MIN_GRAMS) | F.col("said").isin(SHORT))
     return told.withColumn("confirmed", confirmed)
 
 
@@ -259,7 +267,7 @@ def _spans(docs: DataFrame) -> DataFrame:
     lines = docs.withColumn("row", F.monotonically_increasing_id()).where(F.col("text").rlike(ANCHOR))
     lines = lines.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line", "words")).where(F.col("words").rlike(ANCHOR))
     w, n, half = F.col("words"), F.size("words"), BLOCK // 2
-    lines = lines.withColumn("words", F.regexp_extract_all(F.lower("words"), F.lit(WORD), F.lit(0))).where(n > 0)
+    lines = lines.withColumn("words", _words("words")).where(n > 0)
 
     def span(start: Column, end: Column) -> Column:
         return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
@@ -304,8 +312,8 @@ def notices(spans: DataFrame) -> DataFrame:
             names = F.when(F.col("family") == family, F.col("said").rlike(rf"\b(?:{NAMES[family]})\b")).otherwise(names)
     # The paragraph's rule holds for windows too.
     told = _told(unique).where("confirmed").withColumn("grams", _grams(F.split("said", " ")))
-    pure = (F.col("shared") >= MIN_PURE) & ((names & F.col("said").contains("licen")) | (F.col("n") >= MANY_GRAMS))
-    told = told.select("said", "family", F.round((2 * F.col("shared") - 1) * F.col("n")).cast("int").alias("net"), ((covers >= MIN_COVER) | pure).alias("alone"))
+    pure = (F.col("shared") >= MIN_PURE) & ((names & F.col("said").rlike(r"licen|\b(?:l?gpl|mpl) [0-9]")) | (F.col("n") >= MANY_GRAMS))
+    told = told.select("said", "family", F.round((2 * F.col("shared") - 1) * F.col("n")).cast("int").alias("net"), ((F.col("n") >= MIN_GRAMS) & ((covers >= MIN_COVER) | pure)).alias("alone"))
     found = each.join(told, "said").where("block or alone")
     best = F.sort_array(F.collect_list(F.struct((-F.col("net")).alias("rank"), "start", "end", "family")))
     per = found.groupBy("doc_id", "row", "line").agg(best.alias("all"))

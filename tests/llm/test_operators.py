@@ -200,6 +200,13 @@ def test_license_inside_long_lines(spark):
     assert [(got[i]["n_licenses"], got[i]["licenses"]) for i in range(len(texts))] == want
 
 
+def test_license_versions_and_short_names(spark):
+    long = words(random.Random(2), 30)
+    texts = ["This code is under GPLv3.", "Licensed under LGPLv2.1", "Licensed under MPLv2", "MIT License\nx", f"{long} This code is under GPLv3. {long}", "mit nicht", "ungplv3 text here and there"]
+    got = rows(license_scan.scan(make(spark, texts)))
+    assert [got[i]["licenses"] for i in range(len(texts))] == ["gpl", "lgpl", "mpl", "mit", "gpl", "", ""]
+
+
 def test_packing(spark):
     rng = random.Random(5)
     sizes = [rng.randint(1, 64) for _ in range(400)]
