@@ -14,18 +14,18 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see.
 
-    It is the one named in ``spark.checkpoint.dir``; where that is unset (tests
-    on one machine) a temporary folder is set as the checkpoint folder.
+    It is the one named in ``spark.checkpoint.dir``. Where that is unset, one machine
+    that runs everything (a ``local`` master, as in tests) takes a temporary folder; a
+    cluster is an error, since its machines don't share theirs.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if path is None:
-        current = spark.sparkContext.getCheckpointDir()
-        if current is not None:
-            return current
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="logdistill-checkpoint-")
-        spark.sparkContext.setCheckpointDir(path)
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(path)
     return path
 
 
@@ -36,9 +36,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def filesystem(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as an object of the JVM."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder for a table of this run."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """A new path in the shared folder for a table of this run; it is removed when the driver ends, or by ``remove``."""
+    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    fs, at = filesystem(spark, path)
+    fs.deleteOnExit(at)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = filesystem(spark, path)
+    fs.delete(at, True)
+
+
+def unused(taken: list[str], name: str) -> str:
+    """A column name made from ``name`` that isn't in ``taken``, whatever its case."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,10 +6,18 @@ Where no piece has a white-space marker after another character, the text falls
 apart at its markers and each word is solved once. Characters that no piece
 holds become byte pieces. Decoding joins pieces, bytes included, and turns
 markers back into spaces.
+
+Scores are natural logarithms of probabilities that sum to 1 over the normal
+pieces. The public file at hand has merge ranks instead, and tokenizers aren't
+trained here, so ``log_scores`` derives probabilities from the ranks by the
+Zipf-Mandelbrot law: merges are made in order of frequency, and the r-th most
+frequent piece has a probability in proportion to 1 / (r + OFFSET). Files that have
+log scores are taken as they are.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
 from collections.abc import Iterator
@@ -25,6 +33,16 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Below the lowest piece's score, for a character that no piece holds.
 UNKNOWN_PENALTY = 10.0
+#: Mandelbrot's offset of the rank.
+OFFSET = 2.7
+
+
+def log_scores(ranked: list[float]) -> np.ndarray:
+    """Log probabilities of pieces whose scores only rank them, the greatest first; equal scores rank in the order given."""
+    place = np.empty(len(ranked))
+    place[np.argsort(-np.asarray(ranked, dtype=float), kind="stable")] = np.arange(len(ranked))
+    p = 1 / (place + 1 + OFFSET)
+    return np.log(p / p.sum())
 
 
 class DoubleArray:
@@ -94,7 +112,8 @@ class Unigram:
         self._numpy: tuple | None = None
 
     @classmethod
-    def load(cls, path: str = MODEL, dummy_prefix: bool = True) -> Unigram:
+    def load(cls, path: str = MODEL, dummy_prefix: bool = True, ranked: bool = True) -> Unigram:
+        """Pieces of a model file. ``ranked``: its scores are merge ranks; else they are log scores, whose probabilities must sum to 1."""
         import sentencepiece
 
         m = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -102,7 +121,15 @@ class Unigram:
         def kind(i: int) -> str:
             return "byte" if m.is_byte(i) else "control" if m.is_control(i) or m.is_unused(i) else "unknown" if m.is_unknown(i) else "normal"
 
-        return cls([(m.id_to_piece(i), m.get_score(i), kind(i)) for i in range(m.get_piece_size())], dummy_prefix)
+        kinds = [kind(i) for i in range(m.get_piece_size())]
+        scores = [m.get_score(i) for i in range(len(kinds))]
+        normal = [i for i, k in enumerate(kinds) if k == "normal"]
+        if ranked:
+            for i, s in zip(normal, log_scores([scores[i] for i in normal]).tolist()):
+                scores[i] = s
+        elif abs(sum(math.exp(scores[i]) for i in normal) - 1) > 0.05:
+            raise ValueError(f"{path} has no log scores: their probabilities don't sum to 1")
+        return cls([(m.id_to_piece(i), s, k) for i, (s, k) in enumerate(zip(scores, kinds))], dummy_prefix)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_cache": None, "_numpy": None}
@@ -248,7 +275,12 @@ class Unigram:
 
 
 def encode(docs: DataFrame, model: Unigram, check: bool = True) -> DataFrame:
-    """One row for each row of ``docs(doc_id, text)``: ids, n_ids, n_byte_ids, and round_trip (if the decoded ids are the text; markers in a text decode as spaces). A null text has no ids and decodes as empty."""
+    """One row for each row of ``docs(doc_id, text)``: ids, n_ids, n_byte_ids, and round_trip (if the decoded ids are the text; markers in a text decode as spaces). A null text has no ids and decodes as empty.
+
+    Null and repeated ids come back as they are; extra columns are ignored; an empty
+    table gives an empty result. Of segmentations with equal scores ``viterbi`` says
+    which counts.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is the vocabulary's
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_ids", pa.int64()), ("n_byte_ids", pa.int64()), ("round_trip", pa.bool_())])
 
@@ -274,7 +306,7 @@ def encode(docs: DataFrame, model: Unigram, check: bool = True) -> DataFrame:
 
 
 def decode(encoded: DataFrame, model: Unigram, ids: str = "ids") -> DataFrame:
-    """doc_id and decoded text of each row; null ids give a null text."""
+    """doc_id and decoded text of each row of ``encoded(doc_id, ids)``; null ids give a null text, no ids an empty one. Null and repeated doc_ids come back as they are; an empty table gives an empty result."""
     shared = encoded.sparkSession.sparkContext.broadcast(model)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
