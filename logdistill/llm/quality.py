@@ -5,29 +5,34 @@ ratio per (lang, source) gives quartiles; a document is rejected if a ratio lies
 far outside its group's quartiles. The sketch is a log-linear histogram (as in
 HDR histograms): integer buckets, 64 to each power of two, so relative error is
 at most 1/64, sketches merge by adding counts, and the outcome doesn't depend on
-the partitioning. Groups of under ``MIN_GROUP`` documents take the merged sketch
-of their language, or else that of all documents.
+the partitioning. Sketches of a language and of all documents are merged from
+those of the groups. A group of n documents has fences of its own, of weight n,
+drawn towards its language's with the weight ``PRIOR``, which are drawn towards all
+documents' likewise: few documents say little, many decide, without a switch.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logdistill.llm.common import cut
+from logdistill.llm.common import cut, unused
 
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 SYMBOLS = "#*$%&|<>"
 BLANK = " \t\n\x0b\x0c\r"
-MIN_GROUP = 100
+#: Documents that a parent's fences weigh as many as.
+PRIOR = 50
 #: Ratio: (SQL for its integer value, interquartile ranges allowed, slack in the ratio's unit, also a lower fence).
 RATIOS = {
     "word_len": ("100 * word_chars div n_words", 4, 150, True),
@@ -80,19 +85,20 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words)
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """Base counts of each row of ``docs(doc_id, text, lang, source)``."""
+def features(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Base counts of each row of ``docs(doc_id, text, lang, source)``, and its columns ``carried``."""
+    schema = T.StructType([*FEATURES, *(docs.schema[c] for c in carried)])
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             counts = [base_counts(x if isinstance(x, str) else None) for x in pdf["text"]]
             out = pd.DataFrame(counts, columns=FEATURES.names[3:], dtype="int64")
-            for c in ("doc_id", "lang", "source"):
-                out[c] = pdf[c].to_numpy()
-            yield out[FEATURES.names]
+            for c in ("doc_id", "lang", "source", *carried):
+                out[c] = pdf[c].astype("Int64" if c == "doc_id" or c in carried else object).array
+            yield out[schema.names]
 
-    picked = docs.select(F.col("doc_id").cast("long"), "lang", "source", "text")
-    return picked.mapInPandas(batches, FEATURES)
+    picked = docs.select(F.col("doc_id").cast("long"), "lang", "source", "text", *carried)
+    return picked.mapInPandas(batches, schema)
 
 
 def bucket_sql(v: str) -> str:
@@ -111,8 +117,8 @@ def with_verdict(feats: DataFrame) -> DataFrame:
     """Adds base_failed and kept. ``feats`` is read twice: cut it before.
 
     kept is false for base failures, else true unless a ratio lies beyond
-    quartile + allowed interquartile ranges + slack of its group. Null languages
-    and sources are groups of their own.
+    quartile + allowed interquartile ranges + slack of its group, drawn towards the
+    language's and all documents'. Null languages and sources are groups of their own.
     """
     base = feats.withColumn(
         "base_failed",
@@ -148,61 +154,65 @@ def with_verdict(feats: DataFrame) -> DataFrame:
     slack = "case ratio " + " ".join(f"when '{r}' then {s}" for r, (_, _, s, _) in RATIOS.items()) + " end"
     fences = quart.selectExpr(
         "level", "lang", "source", "ratio", "total",
-        f"{q3} + ({k}) * ({q3} - {q1}) + {slack} as high", f"{q1} - ({k}) * ({q3} - {q1}) - {slack} as low",
+        f"{q3} + ({k}) * ({q3} - {q1}) + {slack} as high", f"greatest({q1} - ({k}) * ({q3} - {q1}) - {slack}, 0) as low",
     )
-    wide = fences.groupBy("level", "lang", "source").agg(
-        F.max("total").alias("total"),
-        *(F.max(F.when(F.col("ratio") == r, F.col("high"))).alias(f"{r}_high") for r in RATIOS),
-        *(F.max(F.when(F.col("ratio") == r, F.col("low"))).alias(f"{r}_low") for r, x in RATIOS.items() if x[3]),
-    )
-    bounds = [*(f"{r}_high" for r in RATIOS), *(f"{r}_low" for r, x in RATIOS.items() if x[3])]
-    wide = cut(wide)
-
-    def level(n: int) -> DataFrame:
-        return wide.where(F.col("level") == n).select(
-            *(F.col(c).alias(f"{c}{n}") for c in ("lang", "source", "total", *bounds))
+    # Each group beside its language and the whole, by three keys: few rows, one for each group, level and ratio.
+    places = fences.where("level = 0").selectExpr(
+        "lang as g_lang", "source as g_source", "ratio as g_ratio",
+        "explode(array(0, 1, 2)) as g_level", "lang as k_lang", "source as k_source",
+    )
+    places = places.withColumns({"k_lang": F.when(F.col("g_level") < 2, F.col("k_lang")), "k_source": F.when(F.col("g_level") < 1, F.col("k_source"))})
+    met = places.join(fences, (F.col("g_level") == F.col("level")) & F.col("k_lang").eqNullSafe(F.col("lang")) & F.col("k_source").eqNullSafe(F.col("source")) & (F.col("g_ratio") == F.col("ratio")))
+    at = {f"{c}{n}": F.max(F.when(F.col("level") == n, F.col(c))) for c in ("total", "high", "low") for n in range(3)}
+    beside = met.groupBy("g_lang", "g_source", "ratio").agg(*(x.alias(name) for name, x in at.items()))
+    drawn = beside.selectExpr("g_lang", "g_source", "ratio", *(f"{drawn_sql(side)} as {side}" for side in ("high", "low")))
+    own = cut(
+        drawn.groupBy("g_lang", "g_source").agg(
+            *(F.max(F.when(F.col("ratio") == r, F.col("high"))).alias(f"{r}_high") for r in RATIOS),
+            *(F.max(F.when(F.col("ratio") == r, F.col("low"))).alias(f"{r}_low") for r, x in RATIOS.items() if x[3]),
         )
-
-    groups = base.select("lang", "source").distinct()
-    own = (
-        groups.join(level(0), F.col("lang").eqNullSafe(F.col("lang0")) & F.col("source").eqNullSafe(F.col("source0")), "left")
-        .join(level(1), F.col("lang").eqNullSafe(F.col("lang1")), "left")
-        .join(level(2), F.lit(True), "left")  # one row at most
-    )
-    own = own.select(
-        F.col("lang").alias("g_lang"),
-        F.col("source").alias("g_source"),
-        *(
-            F.when(F.col("total0") >= MIN_GROUP, F.col(f"{b}0"))
-            .when(F.col("total1") >= MIN_GROUP, F.col(f"{b}1"))
-            .otherwise(F.col(f"{b}2"))
-            .alias(b)
-            for b in bounds
-        ),
     )
     inside = " and ".join(
         f"coalesce({sql} <= {r}_high" + (f" and {sql} >= {r}_low" if low else "") + ", true)"
         for r, (sql, _, _, low) in RATIOS.items()
     )
     joined = base.join(own, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
-    return joined.select(
-        *FEATURES.names, "base_failed", F.expr(f"case when base_failed then false else {inside} end").alias("kept")
-    )
+    return joined.select(*feats.columns, "base_failed", F.expr(f"case when base_failed then false else {inside} end").alias("kept"))
+
+
+def drawn_sql(side: str, div: str = "div") -> str:
+    """A fence of level 0 drawn towards that of level 1, itself drawn towards that of level 2; all are whole numbers of 0 at least."""
+    language = f"((total1 * {side}1 + {PRIOR} * {side}2) {div} (total1 + {PRIOR}))"
+    return f"((total0 * {side}0 + {PRIOR} * {language}) {div} (total0 + {PRIOR}))"
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
-    """One row for each row of ``docs``: its counts, base_failed and kept.
+    """One row for each row of ``docs``: doc_id, n_words, the base counts, base_failed, kept, lang, source.
 
     Null or blank texts have no words and fail. Repeated rows and ids are each
     judged; extra columns are ignored; an empty table gives an empty result.
     """
-    return with_verdict(cut(features(docs)))
+    told = with_verdict(cut(features(docs)))
+    return told.select("doc_id", *FEATURES.names[3:], "base_failed", "kept", "lang", "source")
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` without those that the rules reject. An id of several rows stays if any of them is kept; rows with a null id go."""
-    kept = quality_rules(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == F.col("kept_id"), "left_semi")
+    """``docs`` without the rows that the rules reject.
+
+    Each row has its own verdict, which its text, language and source decide: rows
+    with a null id are judged like others, and of several rows of an id only those
+    rejected go. Copies of a text in one group fare alike.
+    """
+    # Two hashes of the text and its length: 160 bits, so that the texts needn't be carried.
+    def named(x: DataFrame) -> list[Column]:
+        return [x["doc_id"].cast("long"), x["lang"], x["source"], *(F.xxhash64(F.lit(seed), x["text"]) for seed in (1, 2)), F.length(x["text"])]
+
+    names = [unused(docs.columns, f"kept_{i}") for i in range(6)]
+    with_hash = docs.select("doc_id", "lang", "source", "text", *(x.alias(n) for x, n in zip(named(docs)[3:], names[3:])))
+    told = with_verdict(cut(features(with_hash, tuple(names[3:])))).where("kept")
+    kept = told.select(F.col("doc_id").alias(names[0]), F.col("lang").alias(names[1]), F.col("source").alias(names[2]), *names[3:]).distinct()
+    same = [a.eqNullSafe(kept[n]) for a, n in zip(named(docs), names)]
+    return docs.join(kept, reduce(and_, same), "left_semi")
 
 
 def oracle() -> str:
@@ -219,11 +229,7 @@ def oracle() -> str:
     each = " union all ".join(f"select lang, source, '{r}' as ratio, {div(sql)} as v from base where not base_failed" for r, (sql, *_) in RATIOS.items())
 
     def bound(r: str, side: str, op: str) -> str:
-        pick = " ".join(
-            f"when (select f.total from fences f where f.level = {n} and f.ratio = '{r}' and {on}) >= {MIN_GROUP} then (select f.{side} from fences f where f.level = {n} and f.ratio = '{r}' and {on})"
-            for n, on in ((0, "f.lang is not distinct from b.lang and f.source is not distinct from b.source"), (1, "f.lang is not distinct from b.lang"))
-        )
-        return f"coalesce({div(RATIOS[r][0])} {op} case {pick} else (select f.{side} from fences f where f.level = 2 and f.ratio = '{r}') end, true)"
+        return f"coalesce({div(RATIOS[r][0])} {op} (select f.{side} from drawn f where f.ratio = '{r}' and f.lang is not distinct from b.lang and f.source is not distinct from b.source), true)"
 
     inside = " and ".join([bound(r, "high", "<=") for r in RATIOS] + [bound(r, "low", ">=") for r, x in RATIOS.items() if x[3]])
     return rf"""
@@ -259,7 +265,12 @@ def oracle() -> str:
       select level, lang, source, ratio, min(case when 4 * upto >= total then bucket end) as b1, min(case when 4 * upto >= 3 * total then bucket end) as b3, max(total) as total
       from running group by all),
     fences as (
-      select level, lang, source, ratio, total, {q3} + ({k}) * ({q3} - {q1}) + {slack} as high, {q1} - ({k}) * ({q3} - {q1}) - {slack} as low from quart)
-    select doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-      case when base_failed then false else {inside} end as kept
+      select level, lang, source, ratio, total, {q3} + ({k}) * ({q3} - {q1}) + {slack} as high, greatest({q1} - ({k}) * ({q3} - {q1}) - {slack}, 0) as low from quart),
+    beside as (
+      select g.lang, g.source, g.ratio, g.total as total0, l.total as total1, g.high as high0, l.high as high1, a.high as high2, g.low as low0, l.low as low1, a.low as low2
+      from fences g join fences l on l.level = 1 and l.ratio = g.ratio and l.lang is not distinct from g.lang join fences a on a.level = 2 and a.ratio = g.ratio where g.level = 0),
+    drawn as (
+      select lang, source, ratio, {drawn_sql("high", "//")}::bigint as high, {drawn_sql("low", "//")}::bigint as low from beside)
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+      case when base_failed then false else {inside} end as kept, lang, source
     from base b"""
