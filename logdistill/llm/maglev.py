@@ -14,6 +14,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logdistill.llm.common import unused
+
 #: Prime; a row of the table is two integers, so the broadcast is about 1 MB whatever the corpus is.
 TABLE_SIZE = 65_537
 MAX_TABLE_SIZE = 2_000_003
@@ -51,27 +53,36 @@ def slot_of(key: Column, size: int = TABLE_SIZE) -> Column:
 
 
 def assign_shards(df: DataFrame, key: str, shards: list[str] = SHARDS, size: int = TABLE_SIZE) -> DataFrame:
-    """``df`` with ``slot`` and ``shard``, by one broadcast join: no shuffle, any skew.
+    """``df`` with ``slot`` and ``shard``, by one broadcast join: whole rows stay where they are, no shuffle, any skew.
 
-    Equal keys go to the same shard; null keys all go to one. Columns of ``df``
-    named slot or shard are replaced.
+    Equal keys go to the same shard; null keys all go to one; repeated rows come back
+    as often; an empty table gives an empty result. Columns of ``df`` named slot or
+    shard are replaced, even if one is the key.
     """
-    spark = df.sparkSession
     rows = [(i, shards[s]) for i, s in enumerate(lookup_table(shards, size))]
-    table = spark.createDataFrame(rows, "slot int, shard string")
-    return df.drop("slot", "shard").withColumn("slot", slot_of(F.col(key), size)).join(F.broadcast(table), "slot").select(
-        *(c for c in df.columns if c not in ("slot", "shard")), "slot", "shard"
-    )
+    at, place, name = (unused(df.columns, f"place_{x}") for x in ("at", "slot", "shard"))
+    table = df.sparkSession.createDataFrame(rows, f"`{place}` int, `{name}` string")
+    placed = df.withColumn(at, slot_of(F.col(key), size)).join(F.broadcast(table), F.col(at) == F.col(place))
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("slot", "shard")]
+    return placed.select(*kept, F.col(at).alias("slot"), F.col(name).alias("shard"))
+
 
+def write_shards(df: DataFrame, key: str, path: str, shards: list[str] = SHARDS, size: int = TABLE_SIZE, parts: int = 4) -> None:
+    """Writes a folder for each shard, of up to ``parts`` files.
 
-def write_shards(df: DataFrame, key: str, path: str, shards: list[str] = SHARDS, size: int = TABLE_SIZE) -> None:
-    """Writes a folder for each shard. Rows are dealt evenly over tasks first, so no shard is one task's work."""
-    assign_shards(df, key, shards, size).write.partitionBy("shard").mode("overwrite").parquet(path)
+    Rows are dealt by shard and by a number of their own, so a shard is ``parts`` tasks
+    and not one, however many rows share its keys; a file holds one shard's rows.
+    """
+    placed = assign_shards(df, key, shards, size)
+    part = unused(placed.columns, "part")
+    # The row's number in its input split: the same when a lost task is run again.
+    numbered = placed.withColumn(part, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)))
+    numbered.repartition(len(shards) * parts, "shard", part).drop(part).write.partitionBy("shard").mode("overwrite").parquet(path)
 
 
 def oracle() -> str:
     """DuckDB SQL for placement with the filled table written out; how the table is filled is tested on its own."""
     table = "".join(f"{s:02x}" for s in lookup_table(SHARDS))
     return f"""
-    with d as (select doc_id, (('0x' || md5(coalesce(doc_id::varchar, ''))[1:15])::bigint % {TABLE_SIZE})::int as slot from documents)
-    select doc_id, slot, 'shard-' || lpad(('0x' || substr('{table}', slot * 2 + 1, 2))::int::varchar, 3, '0') as shard from d"""
+    with d as (select *, (('0x' || md5(coalesce(doc_id::varchar, ''))[1:15])::bigint % {TABLE_SIZE})::int as slot from documents)
+    select d.*, 'shard-' || lpad(('0x' || substr('{table}', slot * 2 + 1, 2))::int::varchar, 3, '0') as shard from d"""

@@ -30,7 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": _documents(token_counts.rollup),
         "op2_order_minhash": _documents(order_minhash.near_duplicates),
         "op3_unigram": _documents(lambda d: unigram.encode(d, unigram.Unigram.load())),
-        "op4_sharding": _documents(lambda d: maglev.assign_shards(d.select("doc_id"), "doc_id")),
+        "op4_sharding": _documents(lambda d: maglev.assign_shards(d, "doc_id")),
         "op5_hnsw": lambda spark, sf_dir: hnsw.near_duplicate_vectors(table(spark, sf_dir, "embeddings")),
         "op6_license_scan": _documents(license_scan.scan),
         "op7_packing": _documents(packing.pack),

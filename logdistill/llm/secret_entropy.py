@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logdistill.llm.common import unused
+
 ASSIGN = r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
@@ -132,8 +134,8 @@ def _random(word: Column) -> Column:
     return F.when(allowed, F.lit(False)).otherwise(lowest_window(word) <= limit)
 
 
-def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``secrets``: array<struct<start, kind_no, kind, end>>, ordered by start, then kind as in KINDS.
+def find_secrets(docs: DataFrame, text: str = "text", secrets: str = "secrets") -> DataFrame:
+    """Adds a column, by default ``secrets``, in place of one of that name: array<struct<start, kind_no, kind, end>>, ordered by start, then kind as in KINDS.
 
     Offsets count code points, ends are exclusive. A null or empty text has none.
     Works on each row alone: repeated rows, ties and extra columns change nothing.
@@ -161,7 +163,7 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
             lambda x: F.struct(x["start"].alias("start"), F.lit(i).alias("kind_no"), F.lit(KINDS[i]).alias("kind"), x["end"].alias("end")),
         )
 
-    return docs.withColumn("secrets", F.array_sort(F.concat(*(named(i, s) for i, s in enumerate(kinds)))))
+    return docs.withColumn(secrets, F.array_sort(F.concat(*(named(i, s) for i, s in enumerate(kinds)))))
 
 
 def _joined(spans: Column) -> Column:
@@ -169,7 +171,7 @@ def _joined(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One row for each row of ``docs(doc_id, text)``: n_assign, n_access, n_hex, n_entropy, base_sha256, spans."""
+    """One row for each row of ``docs(doc_id, text)``: n_assign, n_access, n_hex, n_entropy, base_sha256, spans. Null and empty texts have none; null and repeated ids come back as they are; an empty table gives an empty result."""
     found = find_secrets(docs.select("doc_id", "text")).select("doc_id", "secrets")
     s = F.col("secrets")
 
@@ -182,9 +184,10 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
-    """``docs`` with each run of overlapping spans in ``text`` put as ``[SECRET]``; n_chars, where there is one, follows. Other texts stay as they are."""
-    found = find_secrets(docs)
-    s, t = F.col("secrets"), F.col("text")
+    """``docs`` with each run of overlapping spans in ``text`` put as ``[SECRET]``; n_chars, where there is one, follows. Other texts stay as they are, null ones too; each row is read on its own, so null and repeated ids and extra columns stay; an empty table gives an empty result."""
+    name = unused(docs.columns, "secrets")
+    found = find_secrets(docs, secrets=name)
+    s, t = F.col(name), F.col("text")
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
