@@ -6,7 +6,7 @@ they came before, so repeats count. Each of ``SKETCHES`` sketches takes the
 two texts agree in a sketch if they share these k-mers *and* their order, which
 makes agreement sensitive to edit similarity, not only to shared content. Labels
 and order lower agreement where a passage comes twice, so each sketch also has an
-order-blind value: the ``PER_SKETCH`` distinct k-mers of least hash, as a set.
+order-blind value: the ``PER_BLIND`` distinct k-mers of least hash, as a set.
 
 Two texts are linked if both hold: the Jaccard similarity of their sets of
 five-word shingles is at least 0.8, and so is their alignment similarity
@@ -16,15 +16,18 @@ words have one shingle, the whole text. Texts with the same words form one class
 
 Candidates. An order-blind value is a bucket of classes. (1) Every class is paired with
 its bucket's smallest class: a star, linear in the bucket, which joins large
-groups of copies. (2) Buckets that still hold several components are compared in
-blocks of ``BLOCK`` x ``BLOCK`` sketches inside a task. Pairs of different
-components that agree in ``AGREE`` values of either kind and whose sizes allow a
-link are candidates. Classes without a candidate leave; the rest get their texts, and the
-task checks the pairs and joins components as it goes, so it emits the edges of
-a forest, never the pairs. A linked pair has a Jaccard similarity of 0.8 at least,
-whatever its order, so it agrees in about 10 of 20 order-blind values and in fewer
-than two with a probability near 1e-5 (up to 5e-4 for texts of under ten words);
-nothing is capped or sampled.
+groups of copies. (2) Buckets that still hold several components are compared inside
+a task, if they have up to ``BLOCK`` classes. Classes of larger ones go to a bucket
+for each two large buckets that both hold them: passages that many texts share fill
+buckets, but similar texts share at least two. What is larger even so is compared in
+blocks of ``BLOCK`` x ``BLOCK``. Pairs of different components that agree in ``AGREE``
+values of either kind and whose sizes allow a link are candidates. Classes without a
+candidate leave; the rest get their texts, and the task checks the pairs and joins
+components as it goes, so it emits the edges of a forest, never the pairs.
+
+A linked pair has a Jaccard similarity of 0.8 at least, whatever its order and
+repeats, so it agrees in about 13 of 20 order-blind values, and in fewer than two with
+a probability under 1e-6, for the shortest texts too; nothing is capped or sampled.
 """
 
 from __future__ import annotations
@@ -35,20 +38,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logdistill.llm.common import components, cut, slices
+from logdistill.llm.common import components, cut, slices, unused
 
 K = 5
 SKETCHES = 20
 PER_SKETCH = 3
+PER_BLIND = 2
 AGREE = 2
 BLOCK = 512
 #: Order-blind values first, then the ordered ones.
 VALUES = 2 * SKETCHES
 #: What a group of compared sketches is named by.
-PLACE = ["j", "key", "low", "high"]
+PLACE = ["j", "j2", "key", "low", "high"]
 #: Similarity of at least NUM / DEN.
 NUM, DEN = 4, 5
 #: Words whose codes a Python worker keeps.
@@ -99,10 +103,10 @@ def shingles(codes: np.ndarray) -> np.ndarray:
     return _scatter(out + np.uint64(width))
 
 
-def _least(grams: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """Where the PER_SKETCH k-mers of least rank are, for each sketch."""
+def _least(grams: np.ndarray, ranks: np.ndarray, most: int) -> np.ndarray:
+    """Where the ``most`` k-mers of least rank are, for each sketch."""
     n = len(grams)
-    few = min(PER_SKETCH, n)
+    few = min(most, n)
     return np.argpartition(ranks, few - 1, axis=1)[:, :few] if n > few else np.tile(np.arange(n), (SKETCHES, 1))
 
 
@@ -124,10 +128,11 @@ def sketch(grams: np.ndarray) -> np.ndarray:
         begin = np.maximum.accumulate(np.where(first, np.arange(n), 0))
         labels[order] = (np.arange(n) - begin).astype(np.uint64)
     ranks = _scatter((grams + labels * _MIX[0])[None, :] ^ _SEEDS)
-    chosen = _least(grams, ranks)
+    chosen = _least(grams, ranks, PER_SKETCH)
     chosen.sort(axis=1)  # text order
     once = labels == 0
-    blind = chosen if once.all() else np.flatnonzero(once)[_least(grams[once], ranks[:, once])]
+    # Each distinct k-mer's first occurrence has label 0, so these ranks depend on the set alone.
+    blind = np.flatnonzero(once)[_least(grams[once], ranks[:, once], PER_BLIND)]
     return np.r_[_chained(np.sort(grams[blind], axis=1)), _chained(grams[chosen])].view(np.int64)
 
 
@@ -172,25 +177,25 @@ def _digest(words: list[bytes]) -> str:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (of the words), n (distinct shingles), sketch of each row that has an id and words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("n", pa.int32()), ("sketch", pa.list_(pa.int64()))])
+    """doc_id, mark (hash of the text), digest (of the words), n (distinct shingles), sketch of each row that has an id and words."""
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("digest", pa.string()), ("n", pa.int32()), ("sketch", pa.list_(pa.int64()))])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(it, 128):
             rows, values = [], []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+            for doc, mark, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "mark", "text"))):
                 words = split_words(text)
                 if words:
                     grams = shingles(codes_of(words))
                     values.append(sketch(grams))
-                    rows.append((doc, _digest(words), len(np.unique(grams))))
+                    rows.append((doc, mark, _digest(words), len(np.unique(grams))))
             ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * VALUES)
             flat = pa.array(np.concatenate(values) if values else np.zeros(0, dtype=np.int64))
-            columns = [pa.array([r[i] for r in rows], schema.field(i).type) for i in range(3)]
+            columns = [pa.array([r[i] for r in rows], schema.field(i).type) for i in range(4)]
             yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, flat)], names=schema.names)
 
-    picked = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
-    return picked.mapInArrow(batches, "doc_id long, digest string, n int, sketch array<long>")
+    picked = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text")
+    return picked.mapInArrow(batches, "doc_id long, mark long, digest string, n int, sketch array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -207,16 +212,16 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, ids: DataFrame, sk: DataFrame) -> DataFrame:
-    """id and text of classes; a class is named after its smallest document. Of several rows of that id the one of the class counts."""
+    """id and text of classes: the text of a class's first document, found by its doc_id and mark."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(it):
             keep = [_digest(split_words(t)) == d for t, d in zip(b.column("text").to_pylist(), b.column("digest").to_pylist())]
             yield b.select(["id", "text"]).filter(pa.array(keep, pa.bool_()))
 
-    known = ids.join(sk.select("id", "digest"), "id")
-    found = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("id"), "text").join(known, "id")
-    return found.mapInArrow(batches, "id long, text string").dropDuplicates(["id"])
+    known = ids.join(sk.select("id", "digest", "doc_id", "mark"), "id")
+    found = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    return found.join(known, ["doc_id", "mark"]).select("id", "digest", "text").mapInArrow(batches, "id long, text string").dropDuplicates(["id"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -240,21 +245,25 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.nd
 
 
 class _Blocks:
-    """Numpy columns of a table of groups and the candidate pairs of each group."""
+    """Numpy columns of a table of groups and the candidate pairs of each group.
+
+    ``j`` is the column of a group's bucket, and ``j2`` that of its second one, or -1.
+    ``large`` has a bit for each column whose bucket of the row is a large one.
+    """
 
     def __init__(self, t: pa.Table):
-        self.j, self.low, self.high, self.own, self.id, self.component, self.n = (
-            t.column(c).to_numpy() for c in ("j", "low", "high", "own", "id", "component", "n")
+        self.j, self.j2, self.low, self.high, self.own, self.id, self.component, self.n, self.large = (
+            t.column(c).to_numpy() for c in ("j", "j2", "low", "high", "own", "id", "component", "n", "large")
         )
         self.sketch = t.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, VALUES)
 
     def candidates(self, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows of the left and right block, and the matrix of candidates; a pair is told by the first bucket that holds both."""
+        """Rows of the left and right block, and the matrix of candidates. Of the groups that hold a pair one tells it: its first small bucket, or where it has none its first two large ones."""
         rows = np.arange(begin, end)
         one = self.low[begin] == self.high[begin]
         left = rows if one else rows[self.own[begin:end] == self.low[begin]]
         right = rows if one else rows[self.own[begin:end] == self.high[begin]]
-        j = self.j[begin]
+        j, j2 = int(self.j[begin]), int(self.j2[begin])
         nl, nr = self.n[left][:, None], self.n[right][None, :]
         ok = self.component[left][:, None] != self.component[right][None, :]
         ok &= DEN * np.minimum(nl, nr) >= NUM * np.maximum(nl, nr)
@@ -262,10 +271,18 @@ class _Blocks:
             ok &= self.id[left][:, None] < self.id[right][None, :]
         if ok.any():
             agree = np.zeros(ok.shape, dtype=np.uint8)
+            bits = self.large[left]
             for c in range(VALUES):
-                if c == j:
-                    ok &= agree == 0
-                agree += self.sketch[left, c][:, None] == self.sketch[right, c][None, :]
+                same = self.sketch[left, c][:, None] == self.sketch[right, c][None, :]
+                agree += same
+                if c >= SKETCHES:
+                    continue
+                # An agreement is one bucket, so both rows have the same bit.
+                is_large = (bits >> c & 1).astype(bool)[:, None]
+                if j2 < 0 and c < j:
+                    ok &= ~same | is_large
+                elif j2 >= 0 and c not in (j, j2):
+                    ok &= ~same | is_large & (c > j2)
             ok &= agree >= AGREE
         return left, right, ok
 
@@ -333,30 +350,37 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _in_blocks(members: DataFrame, sk: DataFrame, texts: DataFrame) -> DataFrame:
     """Links that join different components within buckets, from members(j, key, id, component, size)."""
-    dealt = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).join(sk.select("id", "n", "sketch"), "id")
+    is_large = F.col("size") > BLOCK
+    small = members.where(~is_large).select("j", F.lit(-1).alias("j2"), "key", "id", "component", "size")
+    # At most SKETCHES buckets for each class.
+    lists = members.where(is_large).groupBy("id", "component").agg(F.sort_array(F.collect_list(F.struct("j", "key"))).alias("at"))
+    lists = cut(lists.withColumn("large", F.aggregate("at", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["j"])))))
+    first = lists.select("id", "component", "at", F.posexplode("at").alias("p", "x"))
+    second = first.select("id", "component", "x", F.explode(F.slice("at", F.col("p") + 2, F.size("at"))).alias("y"))
+    twos = second.select(F.col("x.j").alias("j"), F.col("y.j").alias("j2"), F.xxhash64("x.key", "y.key").alias("key"), "id", "component")
+    sizes = twos.groupBy("j", "j2", "key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("size")).where("c0 <> c1")
+    large = twos.join(sizes.drop("c0", "c1"), ["j", "j2", "key"]).select(small.columns)
+
+    dealt = small.unionByName(large).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    dealt = dealt.join(lists.select("id", "large"), "id", "left").withColumn("large", F.coalesce("large", F.lit(0).cast("long")))
+    dealt = dealt.join(sk.select("id", "n", "sketch"), "id")
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(
-        "j", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "component", "n", "sketch"
+        "j", "j2", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "component", "n", "large", "sketch"
     )
-    schema = "j int, key long, low int, high int, own int, id long, component long, n int, sketch array<long>"
+    schema = "j int, j2 int, key long, low int, high int, own int, id long, component long, n int, large long, sketch array<long>"
     some = cut(dealt.repartition(*PLACE).sortWithinPartitions(*PLACE).mapInArrow(_with_candidates, schema))
     with_text = some.join(texts, "id").repartition(*PLACE).sortWithinPartitions(*PLACE)
     return with_text.mapInArrow(_forest, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row for each document id of ``docs(doc_id, text)``: class_id (smallest id with the same words), component_id (smallest id reachable by links), kept (doc_id = component_id).
-
-    Documents without words (null, empty, blank) are a class each and kept. Of
-    several rows of an id, that of the smallest digest counts, and one row comes
-    back. Rows with a null id have no result. Extra columns are ignored.
-    """
+def _labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, mark, class_id, component_id, and chosen (its component's one that stays) of each distinct id and text that has words."""
     rows = cut(sketches(docs))
-    ids = rows.groupBy("doc_id").agg(F.min("digest").alias("digest"))
-    one = rows.groupBy("digest").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    firsts = ids.groupBy("digest").agg(F.min("doc_id").alias("id"))
-    sk = cut(firsts.join(one, "digest").select("id", "digest", "n", "sketch"))
+    one = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("x"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    # A class has a number of its own, so that an id may have several texts; it is read from the checkpoint from here on.
+    sk = cut(one.select(F.monotonically_increasing_id().alias("id"), "digest", "x.doc_id", "x.mark", "n", "sketch"))
     buckets = sk.select("id", F.posexplode(F.slice("sketch", 1, SKETCHES)).alias("j", "key"))
     stars = buckets.groupBy("j", "key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
     multi = cut(buckets.join(stars, ["j", "key"]))
@@ -373,12 +397,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     now = multi.select("j", "key", "id").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     # Buckets of several components; a member of a settled bucket goes no further.
     mixed = now.groupBy("j", "key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("size"))
-    members = now.join(mixed.where("c0 <> c1").select("j", "key", "size"), ["j", "key"])
+    members = cut(now.join(mixed.where("c0 <> c1").select("j", "key", "size"), ["j", "key"]))
     label = components(links.union(_in_blocks(members, sk, texts)))
-    named = ids.join(firsts.withColumnRenamed("id", "class_id"), "digest").join(
-        label.select(F.col("id").alias("class_id"), "component"), "class_id", "left"
-    )
-    found = named.select("doc_id", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    classes = sk.select("id", "digest", F.col("doc_id").alias("class_id"), F.col("mark").alias("class_mark")).join(label, "id", "left")
+    classes = classes.select("digest", "class_id", "class_mark", F.coalesce("component", "id").alias("component"))
+    least = classes.groupBy("component").agg(F.min(F.struct("class_id", "class_mark")).alias("least"))
+    named = classes.join(least, "component").select("digest", "class_id", F.col("least.class_id").alias("component_id"), F.col("least.class_mark").alias("least_mark"))
+    documents = rows.groupBy("doc_id", "mark", "digest").agg(F.lit(0).alias("none")).drop("none").join(named, "digest")
+    chosen = (F.col("doc_id") == F.col("component_id")) & (F.col("mark") == F.col("least_mark"))
+    return documents.select("doc_id", "mark", "class_id", "component_id", chosen.alias("chosen"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row for each document id of ``docs(doc_id, text)``: class_id (smallest id with the same words), component_id (smallest id reachable by links), kept (doc_id = component_id).
+
+    Documents without words (null, empty, blank) are a class each and kept. Repeated
+    rows are one document; an id with several texts has a row for each component that
+    they belong to. Rows with a null id have no result. Extra columns are ignored; an
+    empty table gives an empty result.
+    """
+    found = _labelled(docs).groupBy("doc_id", "component_id").agg(F.min("class_id").alias("class_id"))
     everyone = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     out = everyone.join(found, "doc_id", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id")
@@ -387,6 +425,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: the one of the smallest id. Rows with a null id stay."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    """``docs`` with one row of each component: of the smallest id, and if that has several texts of it, of the smallest hash.
+
+    Rows with a null id and rows without words stay. An id's texts are judged one by
+    one. Of rows that repeat both id and text any one stays.
+    """
+    told = cut(_labelled(docs))
+    names = {c: unused(docs.columns, f"told_{c}") for c in ("doc_id", "mark")}
+
+    def marked(x: DataFrame) -> DataFrame:
+        return x.select(*(F.col(c).alias(n) for c, n in names.items()))
+
+    def same(x: DataFrame) -> Column:
+        return (x["doc_id"].cast("long") == F.col(names["doc_id"])) & (F.xxhash64(x["text"]) == F.col(names["mark"]))
+
+    left = docs.join(marked(told.where("not chosen")), same(docs), "left_anti")
+    repeated = docs.where("doc_id is not null and text is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark")).count()
+    repeated = cut(told.where("chosen").select("doc_id", "mark").join(repeated.where("count > 1"), ["doc_id", "mark"]))
+    if repeated.isEmpty():
+        return left
+    number = unused(docs.columns, "number")
+    several = left.join(marked(repeated), same(left), "left_semi").withColumn(number, F.xxhash64("text"))
+    return left.join(marked(repeated), same(left), "left_anti").unionByName(several.dropDuplicates(["doc_id", number]).drop(number))
