@@ -2,14 +2,17 @@
 
 Vectors are compared only within their label. A label's distinct vectors are
 dealt to shards of about ``SHARD`` vectors; each shard gets a graph (Malkov and
-Yashunin, 2018) of its own. Blocks of queries then visit every shard of their
-label. Before it answers, a shard is audited: synthetic queries near known
+Yashunin, 2018) of its own. Blocks of queries then visit their own shard and those
+numbered after it, so that every pair of shards of a label meets once; what a query
+finds in another shard counts for both vectors. Before it answers, a shard is audited: synthetic queries near known
 vectors are answered by beam search and by brute force, and the beam is widened
 until recall passes. A query whose beam is full of links is asked again with a
 wider beam. Every link is verified by cosine in double precision.
 
-A task emits for each query how many vectors it links with, and a spanning
-forest of the links, never the links themselves.
+A task emits for each vector how many others it links with, and a spanning forest
+of the links, never the links themselves. Shards bound a task's memory; a label of N
+vectors has N / SHARD of them, so its searches grow with N * N / (2 * SHARD), each
+logarithmic in SHARD.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from logdistill.llm.common import components, cut
 
 THRESHOLD = 0.98
 SHARD = 2_000
-QUERY_BLOCK = 2_000
+QUERY_BLOCK = 8_000
 NEIGHBOURS = 12
 BUILD_BEAM = 48
 FIRST_BEAM = 32
@@ -189,6 +192,7 @@ def _dedupe(ids: np.ndarray, sims: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _unit(column: pd.Series) -> np.ndarray:
     x = np.array(column.to_list(), dtype=np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)  # else squares of very large or small components leave the range
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -227,8 +231,9 @@ def _ask(graphs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
     if not len(graphs) or not len(queries):
         return none
     graph, ids, copies, width = pickle.loads(graphs["graph"].iat[0])
-    mine = queries["id"].to_numpy()
-    counts = np.zeros(len(queries), dtype=np.int64)
+    mine, many = queries["id"].to_numpy(), queries["copies"].to_numpy()
+    guest = (queries["home"] != graphs["shard"].iat[0]).to_numpy()
+    counts, back = np.zeros(len(queries), dtype=np.int64), np.zeros(len(ids), dtype=np.int64)
     parent: dict[int, int] = {}
     edges: list[tuple[int, int]] = []
 
@@ -242,15 +247,17 @@ def _ask(graphs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         other = ids[nodes] != mine[rows]
         rows, nodes = rows[other], nodes[other]
         np.add.at(counts, rows, copies[nodes])
+        away = guest[rows]
+        np.add.at(back, nodes[away], many[rows[away]])
         for a, b in zip(mine[rows].tolist(), ids[nodes].tolist()):
             x, y = root(a), root(b)
             if x != y:
                 parent[max(x, y)] = min(x, y)
                 edges.append((a, b))
-    some = counts > 0
-    out = pd.DataFrame({"a": np.r_[mine[some], np.array([a for a, _ in edges], dtype=np.int64)]})
-    out["b"] = pd.array([None] * int(some.sum()) + [b for _, b in edges], dtype="Int64")
-    out["n"] = np.r_[counts[some], np.zeros(len(edges), dtype=np.int64)]
+    told = [(mine[counts > 0], counts[counts > 0]), (ids[back > 0], back[back > 0])]
+    out = pd.DataFrame({"a": np.concatenate([*(a for a, _ in told), np.array([a for a, _ in edges], dtype=np.int64)])})
+    out["b"] = pd.array([None] * sum(len(a) for a, _ in told) + [b for _, b in edges], dtype="Int64")
+    out["n"] = np.concatenate([*(n for _, n in told), np.zeros(len(edges), dtype=np.int64)])
     return out
 
 
@@ -261,19 +268,21 @@ def near_duplicate_vectors(embeddings: DataFrame) -> DataFrame:
     many components, and their cosine is at least THRESHOLD. Null, empty, zero and
     non-finite vectors link with nothing, nor do rows with a null id. Rows of the
     same id and vector are one vector; of one id with several vectors the links of
-    all count.
+    all count. Components of any finite size count. Extra columns are ignored; an empty
+    table gives an empty result.
     """
     v = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("vector"), "label")
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    length = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
+    largest = F.array_max(F.transform("vector", F.abs))
     usable = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("vector") > 0) & finite, F.lit(False))
-    good = v.where(usable).where(length > 0).where(length < float("inf")).distinct()
+    good = v.where(usable).where(largest > 0).distinct()
     text = F.concat_ws(",", F.transform("vector", lambda x: x.cast("string")))
     good = good.withColumn("key", F.sha2(F.concat_ws("|", F.col("label").cast("string"), text), 256))
     classes = good.groupBy("key").agg(
-        F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"), F.first("label").alias("label")
+        F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"), F.first("label").alias("label")
     )
-    classes = cut(classes.withColumn("dim", F.size("vector")))
+    # A class has a number of its own, so that an id may have several vectors; it is read from the checkpoint from here on.
+    classes = cut(classes.withColumns({"id": F.monotonically_increasing_id(), "dim": F.size("vector")}))
     sizes = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("size")).select(
         "label", "dim", F.ceil(F.col("size") / SHARD).cast("int").alias("shards"), F.ceil(F.col("size") / QUERY_BLOCK).cast("int").alias("blocks")
     )
@@ -284,14 +293,16 @@ def near_duplicate_vectors(embeddings: DataFrame) -> DataFrame:
     built = dealt.select("label", "dim", "shard", "id", "copies", "vector").groupBy("label", "dim", "shard")
     graphs = cut(built.applyInPandas(_build, f"label {kind}, dim int, shard int, graph binary"))
     served = graphs.join(sizes, ["label", "dim"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    asked = dealt.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    asked = dealt.withColumn("home", F.col("shard")).withColumn("shard", F.explode(F.sequence(F.col("home"), F.col("shards") - 1)))
     keys = ["label", "dim", "shard", "block"]
     found = cut(
-        served.select(*keys, "graph").groupBy(*keys).cogroup(asked.select(*keys, "id", "vector").groupBy(*keys)).applyInPandas(_ask, "a long, b long, n long")
+        served.select(*keys, "graph").groupBy(*keys).cogroup(asked.select(*keys, "home", "id", "copies", "vector").groupBy(*keys)).applyInPandas(_ask, "a long, b long, n long")
     )
     counts = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
-    named = classes.select("key", "id", "copies").join(counts, "id", "left").join(components(found.where("b is not null").select("a", "b")), "id", "left")
-    named = named.select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "id").alias("component"))
+    named = classes.select("key", "id", "least", "copies").join(counts, "id", "left").join(components(found.where("b is not null").select("a", "b")), "id", "left")
+    named = named.select("key", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "id").alias("number"))
+    least = named.groupBy("number").agg(F.min("least").alias("component"))
+    named = named.join(least, "number").select("key", "n", "component")
     told = good.select("vec_id", "key").join(named, "key").groupBy(F.col("vec_id").alias("t_id")).agg(F.sum("n").alias("n"), F.min("component").alias("component"))
     out = v.select("vec_id").join(told, F.col("vec_id") == F.col("t_id"), "left")
     out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
