@@ -17,10 +17,10 @@ words have one shingle, the whole text. Texts with the same words form one class
 Candidates. An order-blind value is a bucket of classes. (1) Every class is paired with
 its bucket's smallest class: a star, linear in the bucket, which joins large
 groups of copies. (2) Buckets that still hold several components are compared inside
-a task, if they have up to ``BLOCK`` classes. Classes of larger ones go to a bucket
-for each two large buckets that both hold them: passages that many texts share fill
-buckets, but similar texts share at least two. What is larger even so is compared in
-blocks of ``BLOCK`` x ``BLOCK``. Pairs of different components that agree in ``AGREE``
+tasks, in blocks of ``BLOCK`` x ``BLOCK``, if they have up to ``LARGE`` classes.
+Classes of larger ones go to a bucket for each two large buckets that both hold them:
+passages that many texts share fill buckets, but similar texts share at least two.
+What is large even so is compared in blocks. Pairs of different components that agree in ``AGREE``
 values of either kind and whose sizes allow a link are candidates. Classes without a
 candidate leave; the rest get their texts, and the task checks the pairs and joins
 components as it goes, so it emits the edges of a forest, never the pairs.
@@ -49,6 +49,8 @@ PER_SKETCH = 3
 PER_BLIND = 2
 AGREE = 2
 BLOCK = 512
+#: From here on blocks would copy a class more often than buckets of two do.
+LARGE = BLOCK * SKETCHES // 2
 #: Order-blind values first, then the ordered ones.
 VALUES = 2 * SKETCHES
 #: What a group of compared sketches is named by.
@@ -129,10 +131,13 @@ def sketch(grams: np.ndarray) -> np.ndarray:
         labels[order] = (np.arange(n) - begin).astype(np.uint64)
     ranks = _scatter((grams + labels * _MIX[0])[None, :] ^ _SEEDS)
     chosen = _least(grams, ranks, PER_SKETCH)
-    chosen.sort(axis=1)  # text order
     once = labels == 0
-    # Each distinct k-mer's first occurrence has label 0, so these ranks depend on the set alone.
-    blind = np.flatnonzero(once)[_least(grams[once], ranks[:, once], PER_BLIND)]
+    if once.all():
+        least = np.argsort(np.take_along_axis(ranks, chosen, 1), axis=1)[:, :PER_BLIND]
+        blind = np.take_along_axis(chosen, least, 1)
+    else:  # each distinct k-mer's first occurrence has label 0, so these ranks depend on the set alone
+        blind = np.flatnonzero(once)[_least(grams[once], ranks[:, once], PER_BLIND)]
+    chosen.sort(axis=1)  # text order
     return np.r_[_chained(np.sort(grams[blind], axis=1)), _chained(grams[chosen])].view(np.int64)
 
 
@@ -350,7 +355,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _in_blocks(members: DataFrame, sk: DataFrame, texts: DataFrame) -> DataFrame:
     """Links that join different components within buckets, from members(j, key, id, component, size)."""
-    is_large = F.col("size") > BLOCK
+    is_large = F.col("size") > LARGE
     small = members.where(~is_large).select("j", F.lit(-1).alias("j2"), "key", "id", "component", "size")
     # At most SKETCHES buckets for each class.
     lists = members.where(is_large).groupBy("id", "component").agg(F.sort_array(F.collect_list(F.struct("j", "key"))).alias("at"))

@@ -102,9 +102,11 @@ def test_edited_copies(spark):
     assert check(spark, texts)[1] > 500
 
 
-def test_large_buckets(spark, monkeypatch):
+@pytest.mark.parametrize("large", [8, 80])
+def test_large_buckets(spark, monkeypatch, large):
     """A passage that many texts share, with small blocks: buckets of two, and blocks of those."""
     monkeypatch.setattr(om, "BLOCK", 8)
+    monkeypatch.setattr(om, "LARGE", large)
     rng = random.Random(7)
     shared, texts = words(rng, 60), []
     for k in range(60):
