@@ -6,7 +6,8 @@ they came before, so repeats count. Each of ``SKETCHES`` sketches takes the
 two texts agree in a sketch if they share these k-mers *and* their order, which
 makes agreement sensitive to edit similarity, not only to shared content. Labels
 and order lower agreement where a passage comes twice, so each sketch also has an
-order-blind value: the ``PER_BLIND`` distinct k-mers of least hash, as a set.
+order-blind value: the ``PER_SKETCH`` distinct k-mers of least hash, as a set. Texts of up to ``SHORT``
+distinct k-mers have values of ``PER_SHORT`` as well, as three of few differ soon.
 
 Two texts are linked if both hold: the Jaccard similarity of their sets of
 five-word shingles is at least 0.8, and so is their alignment similarity
@@ -26,8 +27,9 @@ candidate leave; the rest get their texts, and the task checks the pairs and joi
 components as it goes, so it emits the edges of a forest, never the pairs.
 
 A linked pair has a Jaccard similarity of 0.8 at least, whatever its order and
-repeats, so it agrees in about 13 of 20 order-blind values, and in fewer than two with
-a probability under 1e-6, for the shortest texts too; nothing is capped or sampled.
+repeats. At 0.8 it agrees in about 10 of 20 order-blind values, and in fewer than two
+with a probability of 2e-5; with a text of up to 20 distinct k-mers the other one has
+up to 25, and the values for short ones make that 4e-7. Nothing is capped or sampled.
 """
 
 from __future__ import annotations
@@ -46,13 +48,15 @@ from logdistill.llm.common import components, cut, slices, unused
 K = 5
 SKETCHES = 20
 PER_SKETCH = 3
-PER_BLIND = 2
+PER_SHORT = 2
+SHORT = 25
 AGREE = 2
 BLOCK = 512
+#: Order-blind values first, then those of short texts (0 for others), then the ordered ones. The first two kinds are buckets.
+BUCKETS = 2 * SKETCHES
+VALUES = 3 * SKETCHES
 #: From here on blocks would copy a class more often than buckets of two do.
-LARGE = BLOCK * SKETCHES // 2
-#: Order-blind values first, then the ordered ones.
-VALUES = 2 * SKETCHES
+LARGE = BLOCK * BUCKETS // 2
 #: What a group of compared sketches is named by.
 PLACE = ["j", "j2", "key", "low", "high"]
 #: Similarity of at least NUM / DEN.
@@ -131,14 +135,15 @@ def sketch(grams: np.ndarray) -> np.ndarray:
         labels[order] = (np.arange(n) - begin).astype(np.uint64)
     ranks = _scatter((grams + labels * _MIX[0])[None, :] ^ _SEEDS)
     chosen = _least(grams, ranks, PER_SKETCH)
-    once = labels == 0
-    if once.all():
-        least = np.argsort(np.take_along_axis(ranks, chosen, 1), axis=1)[:, :PER_BLIND]
-        blind = np.take_along_axis(chosen, least, 1)
-    else:  # each distinct k-mer's first occurrence has label 0, so these ranks depend on the set alone
-        blind = np.flatnonzero(once)[_least(grams[once], ranks[:, once], PER_BLIND)]
     chosen.sort(axis=1)  # text order
-    return np.r_[_chained(np.sort(grams[blind], axis=1)), _chained(grams[chosen])].view(np.int64)
+    once = labels == 0
+    # Each distinct k-mer's first occurrence has label 0, so these ranks depend on the set alone.
+    distinct = np.flatnonzero(once)
+    blind = chosen if once.all() else distinct[_least(grams[once], ranks[:, once], PER_SKETCH)]
+    short = np.zeros(SKETCHES, dtype=np.uint64)
+    if len(distinct) <= SHORT:
+        short = _chained(np.sort(grams[distinct[_least(grams[once], ranks[:, once], PER_SHORT)]], axis=1))
+    return np.r_[_chained(np.sort(grams[blind], axis=1)), short, _chained(grams[chosen])].view(np.int64)
 
 
 def edits_within(a: list, b: list, most: int) -> int | None:
@@ -278,9 +283,10 @@ class _Blocks:
             agree = np.zeros(ok.shape, dtype=np.uint8)
             bits = self.large[left]
             for c in range(VALUES):
-                same = self.sketch[left, c][:, None] == self.sketch[right, c][None, :]
+                mine = self.sketch[left, c][:, None]
+                same = (mine == self.sketch[right, c][None, :]) & (mine != 0)
                 agree += same
-                if c >= SKETCHES:
+                if c >= BUCKETS:
                     continue
                 # An agreement is one bucket, so both rows have the same bit.
                 is_large = (bits >> c & 1).astype(bool)[:, None]
@@ -357,7 +363,7 @@ def _in_blocks(members: DataFrame, sk: DataFrame, texts: DataFrame) -> DataFrame
     """Links that join different components within buckets, from members(j, key, id, component, size)."""
     is_large = F.col("size") > LARGE
     small = members.where(~is_large).select("j", F.lit(-1).alias("j2"), "key", "id", "component", "size")
-    # At most SKETCHES buckets for each class.
+    # At most BUCKETS of them for each class.
     lists = members.where(is_large).groupBy("id", "component").agg(F.sort_array(F.collect_list(F.struct("j", "key"))).alias("at"))
     lists = cut(lists.withColumn("large", F.aggregate("at", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["j"])))))
     first = lists.select("id", "component", "at", F.posexplode("at").alias("p", "x"))
@@ -368,13 +374,15 @@ def _in_blocks(members: DataFrame, sk: DataFrame, texts: DataFrame) -> DataFrame
 
     dealt = small.unionByName(large).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     dealt = dealt.join(lists.select("id", "large"), "id", "left").withColumn("large", F.coalesce("large", F.lit(0).cast("long")))
-    dealt = dealt.join(sk.select("id", "n", "sketch"), "id")
+    # 32 bits of each value: a chance agreement is one candidate more, and these rows are copied.
+    slim = F.transform("sketch", lambda x: F.when(x == 0, 0).otherwise(F.hash(x)))
+    dealt = dealt.join(sk.select("id", "n", slim.alias("sketch")), "id")
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(
         "j", "j2", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "component", "n", "large", "sketch"
     )
-    schema = "j int, j2 int, key long, low int, high int, own int, id long, component long, n int, large long, sketch array<long>"
+    schema = "j int, j2 int, key long, low int, high int, own int, id long, component long, n int, large long, sketch array<int>"
     some = cut(dealt.repartition(*PLACE).sortWithinPartitions(*PLACE).mapInArrow(_with_candidates, schema))
     with_text = some.join(texts, "id").repartition(*PLACE).sortWithinPartitions(*PLACE)
     return with_text.mapInArrow(_forest, "a long, b long")
@@ -386,14 +394,14 @@ def _labelled(docs: DataFrame) -> DataFrame:
     one = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("x"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     # A class has a number of its own, so that an id may have several texts; it is read from the checkpoint from here on.
     sk = cut(one.select(F.monotonically_increasing_id().alias("id"), "digest", "x.doc_id", "x.mark", "n", "sketch"))
-    buckets = sk.select("id", F.posexplode(F.slice("sketch", 1, SKETCHES)).alias("j", "key"))
+    buckets = sk.select("id", F.posexplode(F.slice("sketch", 1, BUCKETS)).alias("j", "key")).where("key <> 0")
     stars = buckets.groupBy("j", "key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
     multi = cut(buckets.join(stars, ["j", "key"]))
     texts = cut(_texts(docs, multi.select("id").distinct(), sk))
     pairs = multi.where("id > a").select("a", F.col("id").alias("b")).distinct()
     left = sk.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     right = sk.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
-    agree = F.size(F.filter(F.zip_with("s_a", "s_b", lambda x, y: x == y), lambda x: x))
+    agree = F.size(F.filter(F.zip_with("s_a", "s_b", lambda x, y: (x == y) & (x != 0)), lambda x: x))
     sized = f"{DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b)"
     pairs = pairs.join(right, "b").join(left, "a").where(sized).where(agree >= AGREE).select("a", "b")
 
