@@ -96,7 +96,7 @@ def custom_mask(line: Column, pattern: str, by: str, flags: str = "g") -> Column
     """A rule of the user's; without g only the first match is replaced."""
     if "g" in flags:
         return replaced(line, pattern, by, flags)
-    first = "(?s)^(.*?)(?-s:" + java(pattern) + ")"
+    first = "(?s)^(.*?)(?-s:" + java(pattern, flags.replace("i", "")) + ")"
     shifted = "$1" + "".join(f"${int(c) + 1}" if i and by[i - 1] == "$" and c.isdigit() else c for i, c in enumerate(by) if not (c == "$" and by[i + 1 : i + 2].isdigit()))
     return F.regexp_replace(line, F.lit(("(?iu)" if "i" in flags else "") + first), F.lit(shifted))
 

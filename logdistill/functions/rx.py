@@ -11,7 +11,8 @@ BOUNDARY = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9
 
 
 def java(pattern: str, flags: str = "") -> str:
-    """``pattern`` with \\b, \\s, \\S, $ and . made strict; flags: i (letters of all scripts) and m."""
+    """``pattern`` with \\b, \\s, \\S, $ and . made strict; flags: i (letters of all scripts), m (^ and $ at each line) and s (. takes line ends too)."""
+    ends = r"\n\r\x{2028}\x{2029}"
     out, i, in_class = [], 0, False
     while i < len(pattern):
         c = pattern[i]
@@ -36,7 +37,11 @@ def java(pattern: str, flags: str = "") -> str:
             in_class = False
             out.append(c)
         elif c == "$" and not in_class:
-            out.append(r"\z")
+            out.append(rf"(?:\z|(?=[{ends}]))" if "m" in flags else r"\z")
+        elif c == "^" and not in_class and "m" in flags:
+            out.append(rf"(?:\A|(?<=[{ends}]))")
+        elif c == "." and not in_class and "s" in flags:
+            out.append(r"[\s\S]")
         elif c == "." and not in_class:
             out.append(r"[^\n\r  ]")
         else:

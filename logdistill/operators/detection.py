@@ -7,33 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logdistill.functions.rx import java
-
-#: source -> markers, in the order in which they are tried. A catalogue of any size can be passed instead (``catalog_table``).
-CATALOG: dict[str, list[str]] = {
-    "vitest": ["vitest"], "jest": ["jest"], "webpack": ["webpack"], "typescript": ["typescript", "tsc", "ts2322", "ts18048"],
-    "npm": ["npm err!"], "yarn": ["yarn error"], "pytest": ["pytest"], "kubernetes": ["kubelet", "kubernetes"], "docker": ["docker"],
-    "trivy": ["trivy"], "nginx": ["nginx"], "apache-httpd": ["apache", "mod_jk", "workerenv"], "github-actions": ["github actions", "##[error]"],
-    "gradle": ["gradle"], "maven": ["maven", "[info] build"], "cargo": ["cargo"], "rustc": ["rustc"], "spring-boot": ["spring-boot", "springframework"],
-    "django": ["django"], "terraform": ["terraform"], "systemd": ["systemd"], "redis": ["redis"], "postgresql": ["postgres"], "go-test": ["--- fail:"],
-}
-#: source -> (pattern, flags) of lines that its presence makes important.
-BOOSTS: dict[str, list[tuple[str, str]]] = {
-    "typescript": [(r"\bTS\d{4}\b", "")],
-    "pytest": [(r"^E\s+", ""), (r"\bFAILED\b", "")],
-    "nginx": [(r"\[(?:error|crit|alert|emerg)\]", "i")],
-    "apache-httpd": [(r"\[(?:error|crit|alert|emerg)\]", "i"), (r"\bAH\d{5}\b", ""), (r"\b(?:Directory index forbidden|client denied|mod_jk)\b", "i")],
-    "kubernetes": [(r"\b(?:BackOff|Failed|ErrImagePull|CrashLoopBackOff)\b", "")],
-    "github-actions": [(r"^::(?:error|warning)\b", "")],
-    "npm": [(r"\bnpm\s+ERR!", "i")],
-    "gradle": [(r"\b(?:Execution failed|What went wrong|BUILD FAILED)\b", "i")],
-    "maven": [(r"\b(?:BUILD FAILURE|Failed to execute goal|Compilation failure)\b", "i")],
-    "rustc": [(r"\berror\[E\d{4}\]\b", "")],
-}
+from logdistill.functions.rx import apart, java
+from logdistill.operators.catalog import BOOSTS, CATALOG, MODES
+
 SOURCE_BOOST = 40
-MODES = {
-    "python": ["pytest", "django"], "node": ["jest", "vitest"], "java": ["maven", "gradle", "spring-boot"], "go": ["go-test"], "rust": ["cargo", "rustc"],
-}
 
 
 def marker_weight(marker: str) -> int:
@@ -55,7 +32,7 @@ def catalog_table(spark: SparkSession, catalog: dict[str, list[str]] = CATALOG)
 
 
 def multiline_mode(source: str) -> str:
-    return next((m for m, names in MODES.items() if source in names), "off")
+    return MODES.get(source, "off")
 
 
 def hits(lines: DataFrame, catalog: dict[str, list[str]] = CATALOG) -> DataFrame:
@@ -87,18 +64,27 @@ def needed_confidence(lines_so_far: Column) -> Column:
 def boosted(lines: DataFrame, text: str = "sanitized", catalog: dict[str, list[str]] = CATALOG, boosts: dict = BOOSTS) -> DataFrame:
     """``lines`` with ``source_boost``: SOURCE_BOOST where a source that is sure by then (this line included) has a pattern that matches.
 
-    Confidence is a running sum for each source with patterns, in one window over
-    the stream. ``n_lines`` is the number of physical lines of a row.
+    A source's confidence only grows, so two numbers for each stream and source tell
+    from which line on it is sure: the first line with 6, enough for the first 200
+    lines, and the first with 12. They come from the hits alone, which are few, and
+    are joined by stream; a line tries the patterns of its sure sources only.
+    ``n_lines`` is the number of physical lines of a row.
     """
-    low = F.lower("value")
-    w = Window.partitionBy("stream_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.sum("n_lines").over(w)
+    known = {s: m for s, m in catalog.items() if m and boosts.get(s)}
+    names = list(known)
+    order = Window.partitionBy("stream_id", "source_no").orderBy("line_no")
+    found = hits(lines, known).withColumn("sum", F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    early, late = needed_confidence(F.lit(199)), needed_confidence(F.lit(200))
+    per = found.groupBy("stream_id", "source_no").agg(F.min(F.when(F.col("sum") >= early, F.col("line_no"))).alias("early"), F.min(F.when(F.col("sum") >= late, F.col("line_no"))).alias("late"))
+    # At most one entry for each source that has patterns.
+    per = per.groupBy(F.col("stream_id").alias("s_id")).agg(F.collect_list(F.struct("source_no", "early", "late")).alias("s_all"))
+    upto = F.sum("n_lines").over(Window.partitionBy("stream_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    df = lines.join(per, F.col("stream_id").eqNullSafe(F.col("s_id")), "left").withColumn("s_upto", upto)
+    since = F.filter("s_all", lambda x: F.coalesce(F.col("line_no") >= x["late"], F.lit(False)) | ((F.col("s_upto") < 200) & F.coalesce(F.col("line_no") >= x["early"], F.lit(False))))
+    df = df.withColumn("s_sure", F.transform(since, lambda x: x["source_no"]))
     hit = F.lit(False)
-    for source, patterns in boosts.items():
-        markers = catalog.get(source)
-        if not markers:
-            continue
-        weight = reduce(lambda x, m: x.when(low.contains(m.lower()), marker_weight(m)), markers[1:], F.when(low.contains(markers[0].lower()), marker_weight(markers[0]))).otherwise(0)
-        line_hit = reduce(lambda a, b: a | b, (F.col(text).rlike(java(p, f)) for p, f in patterns))
-        hit = hit | (line_hit & (F.sum(weight).over(w) >= needed_confidence(upto)))
-    return lines.withColumn("source_boost", F.when(hit, SOURCE_BOOST).otherwise(0))
+    for i, source in enumerate(names):
+        line_hit = reduce(lambda a, b: a | b, (F.col(text).rlike(java(p, f)) for p, f in boosts[source]))
+        hit = hit | (F.array_contains("s_sure", i) & F.coalesce(line_hit, F.lit(False)))
+    boost = F.when(F.size("s_sure") > 0, F.when(hit, SOURCE_BOOST).otherwise(0)).otherwise(0)
+    return df.withColumn("source_boost", apart(boost)).drop("s_id", "s_all", "s_upto", "s_sure")

@@ -55,6 +55,8 @@ class Options:
     ignores: list[str] = field(default_factory=list)
     sanitizers: list[tuple[str, str, str]] = field(default_factory=list)
     internals: list[str] = field(default_factory=list)
+    #: source -> markers, joined to those of the catalogue.
+    sources: dict[str, list[str]] = field(default_factory=dict)
 
     def __post_init__(self):
         if self.aggressiveness not in (*LEVELS, "auto"):
@@ -216,11 +218,15 @@ class Reducer:
         self.left, self.in_pem, self.in_frames, self.emitted = 0, False, False, 0
         self.gap = (DENSE + SPARSE) // 2
 
+    def price(self, text: str) -> int:
+        """Tokens of a line of output."""
+        return max(0, math.ceil(self.estimate(f"{text}\n"))) if self.estimate else cost(text)
+
     # What goes out.
     def _emit(self, text: str, score: float) -> None:
         if self.o.sample_size is not None and self.emitted >= self.o.sample_size:
             self.stats["dropped_lines"] += text.count("\n") + 1
-            self._decide(text, None, "sample-limit", False, True)
+            self._decide(None, text, "sample-limit", False, True)
             return
         self.emitted += 1
         self.out.append((text, score))
@@ -399,22 +405,22 @@ class Reducer:
         while self.groups:
             self._flush_group()
         lines = self.out
-        price = (lambda t: max(0, math.ceil(self.estimate(f"{t}\n")))) if self.estimate else cost
         if self.o.collapse_blocks is not None:
             texts = [t for t, _ in lines]
             plan = collapse_blocks(texts, self.o.collapse_blocks)
             s["duplicate_lines"] += len(texts) - sum(isinstance(x, int) for x in plan)
             lines = [lines[x] if isinstance(x, int) else (x, 0.0) for x in plan]
         if self.o.max_tokens is not None:
-            stay = within_budget([x for _, x in lines], [price(t) for t, _ in lines], self.o.max_tokens)
-            s["dropped_lines"] += sum(t.count("\n") + 1 for i, (t, _) in enumerate(lines) if i not in set(stay))
+            stay = within_budget([x for _, x in lines], [self.price(t) for t, _ in lines], self.o.max_tokens)
+            gone = set(range(len(lines))).difference(stay)
+            s["dropped_lines"] += sum(lines[i][0].count("\n") + 1 for i in gone)
             lines = [lines[i] for i in stay]
         for text, _ in lines:
             s["output_lines"] += text.count("\n") + 1
             s["output_words"] += len(text.split())
             s["output_bytes"] += len(text.encode("utf-8", "replace")) + 1
             if self.estimate:
-                s["output_tokens"] += price(text)
+                s["output_tokens"] += self.price(text)
         self.out = lines
         return lines
 

@@ -3,6 +3,8 @@ shuffle by stream, then either windows (static levels) or the fold (all options)
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
 from types import SimpleNamespace
 
 import pandas as pd
@@ -13,7 +15,7 @@ from logdistill.functions import lines as L
 from logdistill.functions import masks as M
 from logdistill.functions.rx import apart, is_blank, matches, words
 from logdistill.operators import detection
-from logdistill.operators.kernel import HIDDEN, Options, Reducer
+from logdistill.operators.kernel import HIDDEN, TOP, UNTERMINATED, Options, Reducer
 
 GROUP_LINES = 200
 SCORED = (
@@ -65,6 +67,10 @@ def drop_reason(raw: Column, line: Column, o: Options) -> Column:
     return out.when(L.is_cascade(line), "cascade") if o.root_cause else out
 
 
+def catalog(o: Options) -> dict[str, list[str]]:
+    return detection.merged(detection.CATALOG, o.sources)
+
+
 def scored(lines: DataFrame, o: Options, sources: bool = True) -> DataFrame:
     """What a row decides alone, and the boost of active sources; dropped rows stay, with their reason."""
     df = group_lines(lines, o.multiline).withColumn("words", words(F.col("value"))).withColumn("bytes", F.octet_length("value").cast("long") + 1)
@@ -98,7 +104,7 @@ def scored(lines: DataFrame, o: Options, sources: bool = True) -> DataFrame:
     df = df.withColumn("quiet_path", F.when(hit["status"] < 400, hit["path"])).withColumn("stack_key", M.stack_signature(s))
     df = df.withColumn("extra", F.coalesce(extra, F.lit(0.0)))
     if sources:
-        df = detection.boosted(df).withColumn("extra", F.col("extra") + F.coalesce("source_boost", F.lit(0)))
+        df = detection.boosted(df, catalog=catalog(o)).withColumn("extra", F.col("extra") + F.coalesce("source_boost", F.lit(0)))
     return df.select([c.split()[0] for c in SCORED.split(", ")])
 
 
@@ -124,7 +130,7 @@ def _fold(o: Options, what: str, estimate=None):
                 out[c] = out[c].astype("Int64")
         else:
             out = pd.DataFrame({"out_no": range(len(r.out)), "text": pd.Series([t for t, _ in r.out], dtype=object), "score": pd.Series([x for _, x in r.out], dtype=float)})
-            out["tokens"] = pd.Series([-(-len(t.split()) * 13 // 10) for t, _ in r.out], dtype="int64")
+            out["tokens"] = pd.Series([r.price(t) for t, _ in r.out], dtype="int64")
         out.insert(0, "stream_id", stream)
         texts = [c for c in ("stream_id", "text", "sanitized", "reason", "detected_format") if c in out]
         return out.astype({c: object for c in texts})  # an empty column would have no text type
@@ -132,10 +138,10 @@ def _fold(o: Options, what: str, estimate=None):
     return run
 
 
-def reduce_lines(lines: DataFrame, options: Options | None = None) -> DataFrame:
-    """Reduced lines: stream_id, out_no, text, score, tokens. Streams run in parallel; one stream is ordered, so it is one task."""
+def reduce_lines(lines: DataFrame, options: Options | None = None, estimate=None) -> DataFrame:
+    """Reduced lines: stream_id, out_no, text, score, tokens. Streams run in parallel; one stream is ordered, so it is one task. ``estimate(text)`` replaces the token estimate, for the budget too."""
     o = options or Options()
-    return scored(lines, o).groupBy("stream_id").applyInPandas(_fold(o, "output"), OUTPUT)
+    return scored(lines, o).groupBy("stream_id").applyInPandas(_fold(o, "output", estimate), OUTPUT)
 
 
 def decisions(lines: DataFrame, options: Options | None = None) -> DataFrame:
@@ -158,7 +164,7 @@ def report(lines: DataFrame, options: Options | None = None, estimate=None) -> D
     """One row of statistics for each stream, with its top sources. ``estimate(text)`` replaces the token estimate."""
     o = options or Options()
     stats = with_tokens(scored(lines, o).groupBy("stream_id").applyInPandas(_fold(o, "report", estimate), REPORT))
-    top = detection.ranked(detection.hits(group_lines(lines, o.multiline)))
+    top = detection.ranked(detection.hits(group_lines(lines, o.multiline), catalog(o)))
     top = top.groupBy("stream_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "source"))), lambda x: x["source"]).alias("detected_sources"))
     return stats.join(top, "stream_id", "left").withColumn("detected_sources", F.coalesce("detected_sources", F.array().cast("array<string>")))
 
@@ -233,40 +239,57 @@ def fold_repeats(emitted: DataFrame, key: Column | None = None) -> DataFrame:
 
 
 def reduce_by_windows(lines: DataFrame, options: Options) -> DataFrame:
-    """The reduction under a static level with dedupe of adjacent lines, as windows only: for streams without JSON, soft access-log rows or post-passes it equals the fold."""
-    rows = context(classify(lines, options), options).where("emitted")
+    """The reduction under a static level with dedupe of adjacent lines, as windows only: for streams without JSON, soft access-log rows or post-passes it equals the fold. The warning of an open PEM block is a stream's last row; the fold writes it before its last group."""
+    classed = classify(lines, options)
+    rows = context(classed, options).where("emitted")
     text = F.when(F.col("marker"), HIDDEN).otherwise(F.col("sanitized"))
     score = F.when(F.col("marker"), 40.0).when(F.col("before"), 0.0).otherwise(F.col("score"))
     rows = rows.select("stream_id", "line_no", text.alias("text"), score.alias("score"), F.when(~F.col("marker") & ~F.col("before"), F.col("stack_key")).alias("sk"))
-    return fold_repeats(rows, F.col("sk"))
+    # A stream whose last header has no footer ends with a warning.
+    turn = F.when(F.col("pem").isNotNull(), F.struct("line_no", (F.col("pem") == "header").alias("open")))
+    ends = classed.groupBy("stream_id").agg(F.max("line_no").alias("last"), F.max(turn).alias("turn")).where("turn.open")
+    warned = ends.select("stream_id", (F.col("last") + 1).alias("line_no"), F.lit(UNTERMINATED).alias("text"), F.lit(float(TOP)).alias("score"), F.lit(UNTERMINATED).alias("sk"))
+    return fold_repeats(rows.unionByName(warned), F.col("sk"))
 
 
 def explain_line(line: Column, o: Options | None = None) -> Column:
-    """struct(reason, kept, score, sanitized) of a line on its own, without what other lines would change."""
+    """struct(reason, kept, score, sanitized) of a line on its own, without what other lines would change: context, repeats and sources."""
     o = o or Options()
     reason = drop_reason(line, line, o)
     clean = M.sanitize(line, o.keep_id_suffix)
-    inner = L.is_internal_frame(clean)
+    for pattern, by, flags in o.sanitizers:
+        clean = M.custom_mask(clean, pattern, by, flags)
+    inner = reduce(or_, (matches(clean, p) for p in o.internals), L.is_internal_frame(clean))
     score = L.base_score(clean, "high" if o.aggressiveness == "auto" else o.aggressiveness)
+    if o.diagnostics:
+        score = score + F.when(L.any_of(clean, [(p, "") for p in o.diagnostics]), 50).otherwise(0)
     if o.multilingual:
         score = score + F.when(L.is_foreign_diagnostic(clean), 50).otherwise(0)
-    told = F.coalesce(reason, F.when(inner, "internal-stack").when(score >= L.KEEP_SCORE, "hard-keep").when(score >= 0, "context-buffered").otherwise("low-score"))
+    told = F.coalesce(reason, F.when(inner, "internal-stack").when(score >= L.KEEP_SCORE, "hard-keep").otherwise("low-score"))
     return F.struct(
         told.alias("reason"), (reason.isNull() & (inner | (score >= L.KEEP_SCORE))).alias("kept"), F.when(reason.isNull() & ~inner, score).alias("score"),
         F.when(reason.isNull(), F.when(inner, HIDDEN).otherwise(clean)).alias("sanitized"),
     )
 
 
+# What tells a pasted log, as (pattern, flags, lines that it takes for a point), and how much is enough.
+PASTE_SIGNALS = {
+    "stamped": (r"([0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}|[0-9]{2}:[0-9]{2}:[0-9]{2}[.,][0-9]{3})", "", [2]),
+    "levelled": (r"\[(INFO|ERROR|WARN|DEBUG|TRACE|FATAL|WARNING)\]|(^|\s)(ERROR|WARNING|FATAL|INFO):|npm (ERR|WARN)!", "i", [2]),
+    "framed": (r"at [a-zA-Z][a-zA-Z0-9_$]+\.[a-zA-Z]", "", [1, 3]),
+    "built": (r"(FAIL|PASS|SKIP|RUN)\b|npm ERR!|cargo (error|warning)|make\[|pytest|jest|mocha", "i", [2]),
+    "prefixed": (r"^\s*(npm ERR|npm WARN|yarn error|FAIL|PASS|SKIP|RUN|OK|ERR!|WARN!|\[ERROR\]|\[INFO\]|\[WARN\]|\[DEBUG\]|\[FATAL\]|\[TRACE\]|FATAL:|ERROR:|WARNING:)", "i", [2]),
+}
+PASTE_LINES, PASTE_POINTS = 5, 2
+
+
 def paste_signals(lines: DataFrame) -> DataFrame:
-    """stream_id, n_lines, score, is_log: if a pasted text looks like a log (five lines, two of six signals)."""
+    """stream_id, n_lines, score, is_log: if a pasted text looks like a log: PASTE_LINES lines and PASTE_POINTS points."""
     v = F.col("value")
-    signals = {
-        "stamped": matches(v, r"\d{4}-\d{2}-\d{2}[T\s]\d{2}:\d{2}"), "levelled": matches(v, r"\[(?:INFO|DEBUG|WARN|ERROR|FATAL|TRACE)\]", "i"),
-        "framed": matches(v, r"^\s*at\s+\S"), "failed": matches(v, L.DIAGNOSTIC, "i"), "bracketed": matches(v, r"^\["), "json": matches(v, L.JSON_LINE),
-    }
-    per = lines.groupBy("stream_id").agg(F.count(F.lit(1)).alias("n_lines"), *(F.count_if(c).alias(k) for k, c in signals.items()))
-    score = sum((F.when(F.col(k) >= 2, 1).otherwise(0) for k in signals), F.lit(0))
-    return per.select("stream_id", "n_lines", score.alias("score")).withColumn("is_log", (F.col("n_lines") >= 5) & (F.col("score") >= 2))
+    counts = (F.count_if(F.coalesce(matches(v, p, f), F.lit(False))).alias(k) for k, (p, f, _) in PASTE_SIGNALS.items())
+    per = lines.groupBy("stream_id").agg(F.count(F.lit(1)).alias("n_lines"), *counts)
+    score = sum((F.when(F.col(k) >= least, 1).otherwise(0) for k, (*_, limits) in PASTE_SIGNALS.items() for least in limits), F.lit(0))
+    return per.select("stream_id", "n_lines", score.alias("score")).withColumn("is_log", (F.col("n_lines") >= PASTE_LINES) & (F.col("score") >= PASTE_POINTS))
 
 
 def sample_output(output: DataFrame, n: int) -> DataFrame:

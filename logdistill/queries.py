@@ -226,10 +226,24 @@ def telemetry_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RUNS = f"""
   with r as (select stream_id, max(line_no) as newest, sum(len(regexp_extract_all(value, '\\S+'))) as i, sum(case when value like '[INFO]%' then 0 else len(regexp_extract_all(value, '\\S+')) end) as o
-    from ({S.EVENT_LINES_SQL}) group by stream_id order by newest desc, stream_id limit 100)
+    from ({S.EVENT_LINES_SQL}) group by stream_id order by newest desc, stream_id limit 1000)
   select count(*) as runs, sum(i)::bigint as input_tokens, sum(o)::bigint as output_tokens, sum(i - o)::bigint as saved_tokens, floor(1000 * sum(i - o) / sum(i))::bigint as saved_permille from r"""
 
 
+#: Every few lines in another shape, so that each signal decides for some streams.
+PASTED = """case when line_no % 11 < ascii(substr(stream_id, length(stream_id), 1)) % 4 then concat('   at app.Service', line_no % 3, '(x)') when line_no % 7 = ascii(substr(stream_id, length(stream_id), 1)) % 5 then concat('2024-01-01 10:00', substr(value, 9))
+  when line_no % 13 = 1 and ascii(substr(stream_id, length(stream_id), 1)) % 2 = 0 then 'make[1]: pytest' else replace(replace(value, '[', ''), ']', '') end"""
+_PASTE = f"""
+  with c as (select stream_id, count(*) as n_lines, count(*) filter (where regexp_matches(v, '\\d{{4}}-\\d\\d-\\d\\d[T ]\\d\\d:\\d\\d|\\d\\d:\\d\\d:\\d\\d[.,]\\d{{3}}')) as a,
+      count(*) filter (where regexp_matches(v, '(?i)\\[(info|error|warn|debug|trace|fatal|warning)\\]|(^|\\s)(error|warning|fatal|info):|npm (err|warn)!')) as b,
+      count(*) filter (where regexp_matches(v, 'at [a-zA-Z][a-zA-Z0-9_$]+\\.[a-zA-Z]')) as f,
+      count(*) filter (where regexp_matches(v, '(?i)(fail|pass|skip|run)\\b|npm err!|cargo (error|warning)|make\\[|pytest|jest|mocha')) as m,
+      count(*) filter (where regexp_matches(v, '(?i)^\\s*(npm err|npm warn|yarn error|fail|pass|skip|run|ok|err!|warn!|\\[(error|info|warn|debug|fatal|trace)\\]|fatal:|error:|warning:)')) as p
+    from (select stream_id, line_no, {PASTED} as v from ({S.EVENT_LINES_SQL})) group by 1),
+  t as (select stream_id, n_lines, (a >= 2)::int + (b >= 2)::int + (f >= 1)::int + (f >= 3)::int + (m >= 2)::int + (p >= 2)::int as score from c)
+  select stream_id, n_lines, score, n_lines >= 5 and score >= 2 as is_log from t"""
+
+
 def _lines(build: Callable[[DataFrame], DataFrame], source=event_lines) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: build(source(spark, sf_dir))
 
@@ -297,9 +311,8 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
         f"select stream_id, line_no as out_no, value as text from ({S.EVENT_LINES_SQL}) qualify row_number() over (partition by stream_id order by line_no) <= 5",
     ),
     "paste_detect": (
-        _lines(lambda d: P.paste_signals(d).select("stream_id", "n_lines", "is_log")),
-        f"""with c as (select stream_id, count(*) as n_lines, count(*) filter (where regexp_matches(value, '^\\d{{4}}-')) as a, count(*) filter (where value like '[%') as b, count(*) filter (where value like '[ERROR]%') as c from ({S.EVENT_LINES_SQL}) group by 1)
-        select stream_id, n_lines, n_lines >= 5 and (a >= 2)::int + 2 * (b >= 2)::int + (c >= 2)::int >= 2 as is_log from c""",
+        _lines(lambda d: P.paste_signals(d.withColumn("value", F.expr(PASTED)))),
+        _PASTE,
     ),
     "telemetry_rollup": (telemetry_rollup, _RUNS),
     "reduce_by_windows": (_lines(lambda d: P.reduce_by_windows(d, STATIC)), None),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 
+from logdistill.operators import detection
 from logdistill.operators.kernel import Options
 
 LISTS = ("sources", "diagnostics", "ignores", "sanitizers", "internals")
@@ -86,6 +87,7 @@ def load(path: str | None = None) -> dict:
 
 
 def options(config: dict, inline: Options | None = None) -> Options:
-    """Rules of the file before those given inline."""
+    """Rules and sources of the file before those given inline; markers of one source are joined."""
     o = inline or Options()
-    return Options(**(o.__dict__ | {k: [*config[k], *getattr(o, k)] for k in ("diagnostics", "ignores", "sanitizers", "internals")}))
+    sources = detection.merged(config["sources"], o.sources)
+    return Options(**(o.__dict__ | {"sources": sources} | {k: [*config[k], *getattr(o, k)] for k in ("diagnostics", "ignores", "sanitizers", "internals")}))

@@ -62,7 +62,8 @@ def test_windows_equal_fold(spark, level):
     df, o = lines.from_strings(spark, texts), Options(aggressiveness=level, adaptive_context=True)
     a = [(r.stream_id, r.text) for r in P.reduce_by_windows(df, o).orderBy("stream_id", "line_no").collect()]
     b = [(r.stream_id, r.text) for r in P.reduce_lines(df, o).orderBy("stream_id", "out_no").collect()]
-    assert a == [x for x in b if "unterminated" not in x[1]]
+    warned = lambda x: "unterminated" in x[1]  # noqa: E731 - the fold puts the warning before its last group, the windows at the end
+    assert [x for x in a if not warned(x)] == [x for x in b if not warned(x)] and sorted(filter(warned, a)) == sorted(filter(warned, b)) != []
 
 
 def test_empty_table(spark):
