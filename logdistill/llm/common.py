@@ -31,9 +31,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` in the shared folder: it is computed once, its lineage
-    ends there, and losing an executor doesn't lose it."""
+    ends there, and losing an executor doesn't lose it.
+
+    Spark removes shuffle files when the driver's collector finds that nothing refers
+    to them, which may be never in a driver with little garbage; so it is asked to look.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def filesystem(spark: SparkSession, path: str):
