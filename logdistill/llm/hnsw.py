@@ -234,13 +234,16 @@ def _ask(graphs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
     mine, many = queries["id"].to_numpy(), queries["copies"].to_numpy()
     guest = (queries["home"] != graphs["shard"].iat[0]).to_numpy()
     counts, back = np.zeros(len(queries), dtype=np.int64), np.zeros(len(ids), dtype=np.int64)
-    parent: dict[int, int] = {}
+    # A forest over the ids of both sides; of a block's links only those between different trees are looked at one by one.
+    every, at = np.unique(np.r_[mine, ids], return_inverse=True)
+    of_query, of_node = at[: len(mine)], at[len(mine) :]
+    tree = np.arange(len(every))
     edges: list[tuple[int, int]] = []
 
     def root(v: int) -> int:
-        while (p := parent.get(v, v)) != v:
-            parent[v] = parent.get(p, p)
-            v = p
+        while tree[v] != v:
+            tree[v] = tree[tree[v]]
+            v = int(tree[v])
         return v
 
     for rows, nodes in _links(graph, _unit(queries["vector"]), width, THRESHOLD):
@@ -249,11 +252,16 @@ def _ask(graphs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         np.add.at(counts, rows, copies[nodes])
         away = guest[rows]
         np.add.at(back, nodes[away], many[rows[away]])
-        for a, b in zip(mine[rows].tolist(), ids[nodes].tolist()):
-            x, y = root(a), root(b)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                edges.append((a, b))
+        x, y = tree[of_query[rows]], tree[of_node[nodes]]
+        apart = np.flatnonzero(x != y)
+        _, first = np.unique(x[apart] * len(every) + y[apart], return_index=True)
+        for k in apart[first].tolist():
+            p, q = root(int(x[k])), root(int(y[k]))
+            if p != q:
+                tree[max(p, q)] = min(p, q)
+                edges.append((int(mine[rows[k]]), int(ids[nodes[k]])))
+        while (tree != tree[tree]).any():
+            tree = tree[tree]
     told = [(mine[counts > 0], counts[counts > 0]), (ids[back > 0], back[back > 0])]
     out = pd.DataFrame({"a": np.concatenate([*(a for a, _ in told), np.array([a for a, _ in edges], dtype=np.int64)])})
     out["b"] = pd.array([None] * sum(len(a) for a, _ in told) + [b for _, b in edges], dtype="Int64")
