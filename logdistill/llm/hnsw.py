@@ -222,7 +222,8 @@ def _links(graph: Graph, q: np.ndarray, width: int, threshold: float) -> Iterato
             exact = np.einsum("kd,kd->k", q[rows], graph.x[nodes]) >= threshold
             yield rows[exact], nodes[exact]
         todo = np.concatenate(later) if later else np.zeros(0, dtype=int)
-        width *= 4
+        # A beam of a quarter of the shard costs more than reading all of it.
+        width = 4 * width if 16 * width < len(graph.x) else len(graph.x)
 
 
 def _ask(graphs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
