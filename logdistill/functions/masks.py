@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logdistill.functions.rx import java, replaced
+from logdistill.functions.rx import guarded, having, holding, java, replaced
 
 # The formats that are masked, in the order in which they are.
 _OCTET = r"(?:25[0-5]|2[0-4]\d|[01]?\d\d?)"
@@ -69,27 +72,44 @@ def group_status_codes(line: Column) -> Column:
     return line
 
 
+#: For each of TIMES, what every match holds.
+_TIME_PARTS = [having(r"GMT|UTC", "i"), holding("["), holding("/"), having(r"\d/\d\d/\d"), having(r"\d-\d\d-\d")]
+_CLOCK = r"\d\d:\d\d:\d\d|\d{4}-\d\d-\d\d"
+_TOKEN_STARTS = r"gh[opuars]_|eyJ|xox[abprs]-|[spr]k_(?:live|test)_|npm_|AIza|(?:SK|AC)[a-f0-9]{32}|SG\."
+
+
+def _times(line: Column) -> Column:
+    for (pattern, flags), test in zip(TIMES, _TIME_PARTS):
+        line = guarded(line, test, lambda x, p=pattern, f=flags: replaced(x, p, "[TIME]", f))
+    return line
+
+
+def _each(rules: list[tuple[str, str]]) -> Callable[[Column], Column]:
+    return lambda x: reduce(lambda line, rule: replaced(line, *rule), rules, x)
+
+
 def sanitize(line: Column, keep_suffix: int = 0) -> Column:
-    """All masks in order; ``keep_suffix`` last characters of ids and hashes may stay."""
-    line = replaced(line, r"\x1b\[[0-9;]*m", "")
-    line = _suffixed(UUID, "ID", keep_suffix, line, "i")
-    for pattern, flags in TIMES:
-        line = replaced(line, pattern, "[TIME]", flags)
-    for pattern, by in ADDRESSES:
-        line = replaced(line, pattern, by)
-    line = replaced(line, CONNECTION, "$1[REDACTED]@", "i")
-    for pattern, by in TOKENS:
-        line = replaced(line, pattern, by)
-    line = replaced(line, AUTHORIZATION, "Authorization: [REDACTED]", "i")
-    line = replaced(line, SECRET_FIELD, "$1[REDACTED]", "i")
-    line = replaced(line, DURATION, "[AGO]")
-    line = replaced(line, EMAIL, "[EMAIL]")
-    line = _suffixed(HEX_HASH, "HASH", keep_suffix, line, "i")
-    line = _suffixed(WORD_HASH, "HASH", keep_suffix, line)
-    line = replaced(line, AWS_KEY, "[REDACTED]")
-    line = replaced(line, ARN, "$1[ACCOUNT]")
-    line = replaced(line, r"[ \t]+$", "")
-    return group_status_codes(line)
+    """All masks in order; ``keep_suffix`` last characters of ids and hashes may stay. Each mask runs on lines that hold what all its matches hold."""
+    steps = [
+        (holding("\x1b"), lambda x: replaced(x, r"\x1b\[[0-9;]*m", "")),
+        (having(r"-[0-9a-f]{4}-[0-9a-f]{4}-", "i"), lambda x: _suffixed(UUID, "ID", keep_suffix, x, "i")),
+        (having(_CLOCK), _times),
+        (having(r"\d\.\d{1,3}\.\d{1,3}\.\d"), _each(ADDRESSES[:2])),
+        (having(r"::|:(?:[0-9a-fA-F]{1,4}:){3}"), _each(ADDRESSES[2:])),
+        (holding("://", "@"), lambda x: replaced(x, CONNECTION, "$1[REDACTED]@", "i")),
+        (having(_TOKEN_STARTS), _each(TOKENS)),
+        (having(r"Authorization\s*:", "i"), lambda x: replaced(x, AUTHORIZATION, "Authorization: [REDACTED]", "i")),
+        (having(r"(?:password|secret|token|key|bearer)\s*[:=]", "i"), lambda x: replaced(x, SECRET_FIELD, "$1[REDACTED]", "i")),
+        (having(r"\ds"), lambda x: replaced(x, DURATION, "[AGO]")),
+        (holding("@"), lambda x: replaced(x, EMAIL, "[EMAIL]")),
+        (having(r"[a-f0-9]{16}", "i"), lambda x: _suffixed(HEX_HASH, "HASH", keep_suffix, x, "i")),
+        (having(r"[A-Za-z0-9]{24}"), lambda x: _suffixed(WORD_HASH, "HASH", keep_suffix, x)),
+        (having(r"A[BKS]IA"), lambda x: replaced(x, AWS_KEY, "[REDACTED]")),
+        (holding("arn:aws:"), lambda x: replaced(x, ARN, "$1[ACCOUNT]")),
+        (having(r"[ \t]$"), lambda x: replaced(x, r"[ \t]+$", "")),
+        (having(r"[4-9]\d\d"), group_status_codes),
+    ]
+    return reduce(lambda x, step: guarded(x, *step), steps, line)
 
 
 def custom_mask(line: Column, pattern: str, by: str, flags: str = "g") -> Column:
