@@ -109,16 +109,16 @@ def should_keep(line: Column) -> Column:
 
 
 def is_ci_noise(line: Column) -> Column:
-    return any_of(line, [(TIMESTAMP_ONLY, ""), (NORMAL_EVENT, "i"), (REPEATED, "i")])
+    return matches(line, TIMESTAMP_ONLY) | (matches(line, "normal", "i") & matches(line, NORMAL_EVENT, "i")) | (matches(line, r"repeated|times?\s*\]", "i") & matches(line, REPEATED, "i"))
 
 
 def is_progress(line: Column) -> Column:
-    bar = matches(trimmed(line), SEPARATOR) | any_of(line, [(PROGRESS, ""), (PROGRESS_BAR, "")])
-    return ~is_blank(line) & ~matches(line, PROGRESS_WORDS) & bar
+    bar = (matches(line, r"[=\-#]{20}") & matches(trimmed(line), SEPARATOR)) | (line.contains("%") & matches(line, PROGRESS)) | matches(line, PROGRESS_BAR)
+    return bar & ~is_blank(line) & ~matches(line, PROGRESS_WORDS)
 
 
 def is_cascade(line: Column) -> Column:
-    return matches(line, CASCADE, "i")
+    return matches(line, r"due to|terminated|because", "i") & matches(line, CASCADE, "i")
 
 
 def is_foreign_diagnostic(line: Column) -> Column:
@@ -138,7 +138,7 @@ def access_log(line: Column) -> Column:
     """struct(path, status, user_agent) of a full access-log line, or null."""
     rx = F.lit(java(ACCESS_FULL, "i"))
     parts = [F.regexp_extract(line, java(ACCESS_FULL, "i"), i) for i in (1, 2, 3)]
-    return F.when(F.regexp_like(line, rx), F.struct(parts[0].alias("path"), parts[1].cast("int").alias("status"), parts[2].alias("user_agent")))
+    return F.when(line.contains('"') & F.regexp_like(line, rx), F.struct(parts[0].alias("path"), parts[1].cast("int").alias("status"), parts[2].alias("user_agent")))
 
 
 def is_access_log(line: Column) -> Column:
@@ -150,9 +150,11 @@ def http_status(line: Column) -> Column:
 
 
 def is_access_noise(line: Column) -> Column:
-    hit = access_log(line)
-    quiet = any_of(hit["path"], [(p, "i") for p in NOISE_PATHS]) | matches(hit["user_agent"], NOISE_AGENTS, "i")
-    return F.coalesce((hit["status"] < 400) & quiet, F.lit(False))
+    def noise(hit: Column) -> Column:
+        quiet = any_of(hit["path"], [(p, "i") for p in NOISE_PATHS]) | matches(hit["user_agent"], NOISE_AGENTS, "i")
+        return F.coalesce((hit["status"] < 400) & quiet, F.lit(False))
+
+    return F.element_at(F.transform(F.array(access_log(line)), noise), 1)
 
 
 def base_score(line: Column, level: str = "high") -> Column:
