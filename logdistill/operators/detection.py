@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -50,6 +51,13 @@ def hits(lines: DataFrame, catalog: dict[str, list[str]] = CATALOG) -> DataFrame
     return lines.select("stream_id", "line_no", F.explode(rows).alias("h")).select("stream_id", "line_no", "h.*")
 
 
+def named(value: Column, catalog: dict[str, list[str]] = CATALOG) -> Column:
+    """array<int>: numbers of the sources that a line names."""
+    low = F.lower(value)
+    found = (F.when(reduce(or_, (low.contains(m.lower()) for m in markers)), i) for i, markers in enumerate(catalog.values()))
+    return F.array_compact(F.array(*found))
+
+
 def ranked(found: DataFrame, limit: int = 12) -> DataFrame:
     """The top sources of each stream: most hits first, then by name."""
     counts = found.groupBy("stream_id", "source").agg(F.count(F.lit(1)).alias("hits"), F.sum("weight").alias("confidence"))

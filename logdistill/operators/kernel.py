@@ -61,7 +61,7 @@ class Options:
     def __post_init__(self):
         if self.aggressiveness not in (*LEVELS, "auto"):
             raise ValueError(f"unknown aggressiveness: {self.aggressiveness}")
-        if self.multiline not in ("off", "auto", "python", "node", "java", "go", "rust"):
+        if self.multiline not in ("off", "auto", "auto-source", "python", "node", "java", "go", "rust"):
             raise ValueError(f"unknown multiline mode: {self.multiline}")
 
     @property

@@ -4,7 +4,7 @@ shuffle by stream, then either windows (static levels) or the fold (all options)
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import add, or_
 from types import SimpleNamespace
 
 import pandas as pd
@@ -15,9 +15,9 @@ from logdistill.functions import lines as L
 from logdistill.functions import masks as M
 from logdistill.functions.rx import apart, is_blank, matches, words
 from logdistill.operators import detection
+from logdistill.operators.grouping import CUT, GROUP_BYTES, GROUP_LINES, RULES, cutter, rule_of
 from logdistill.operators.kernel import HIDDEN, TOP, UNTERMINATED, Options, Reducer
 
-GROUP_LINES = 200
 SCORED = (
     "stream_id string, line_no long, value string, n_lines int, words long, bytes long, reason string, truncated boolean, fmt string, sanitized string, "
     "pem string, internal boolean, stack_key string, score double, json_score int, quiet_warn boolean, notice boolean, quiet_path string, extra double"
@@ -28,27 +28,39 @@ COUNTERS = "input_lines output_lines input_words output_words input_bytes output
 REPORT = "stream_id string, " + ", ".join(f"{c} long" for c in COUNTERS) + ", detected_format string, own_input_tokens long, own_output_tokens long"
 
 
-def group_lines(lines: DataFrame, mode: str = "off") -> DataFrame:
-    """Logical lines: a line and those that go on it, GROUP_LINES at most. Adds n_lines.
+def group_lines(lines: DataFrame, mode: str = "off", known: dict[str, list[str]] = detection.CATALOG) -> DataFrame:
+    """Logical lines: a line and those that go on it, up to GROUP_LINES lines, none added at GROUP_BYTES or more. Adds n_lines.
 
     An island's number is a running count of lines that begin one; longer islands
-    are cut every GROUP_LINES lines.
+    are cut every GROUP_LINES lines. Islands of GROUP_BYTES or more are cut by one
+    pass over their lines, which reads the same shuffle. ``auto-source`` takes such
+    a pass over all lines: the top source among ``known`` so far chooses the rule.
     """
     if mode == "off":
         return lines.select("stream_id", "line_no", "value", F.lit(1).alias("n_lines"))
+    v = F.col("value")
+    size = F.coalesce(F.octet_length(v), F.lit(0)).alias("bytes")
+    if mode == "auto-source":
+        bits = (F.when(L.continues(v, r), rule_of(r)).otherwise(0) for r in RULES)
+        flat = lines.select("stream_id", "line_no", F.coalesce(v, F.lit("")).alias("value"), size, reduce(add, bits).alias("goes"), detection.named(v, known).alias("sources"))
+        return flat.repartition("stream_id").sortWithinPartitions("stream_id", "line_no").mapInPandas(cutter(list(known)), CUT)
     w = Window.partitionBy("stream_id").orderBy("line_no")
-    begins = ~L.continues(F.col("value"), mode)
-    islands = lines.withColumn("island", F.sum(begins.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    place = F.row_number().over(Window.partitionBy("stream_id", "island").orderBy("line_no")) - 1
-    cut = islands.withColumn("part", F.floor(place / GROUP_LINES))
+    begins = ~L.continues(v, mode)
+    islands = lines.select("stream_id", "line_no", "value", size).withColumn("island", F.sum(begins.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    one = Window.partitionBy("stream_id", "island")
+    placed = islands.withColumn("place", F.row_number().over(one.orderBy("line_no")) - 1).withColumn("total", F.sum("bytes").over(one))
+    cut = placed.where(F.col("total") < GROUP_BYTES).withColumn("part", F.floor(F.col("place") / GROUP_LINES))
     rows = F.array_sort(F.collect_list(F.struct("line_no", "value")))
-    grouped = cut.groupBy("stream_id", "island", "part").agg(rows.alias("rows"))
-    return grouped.select(
+    grouped = cut.groupBy("stream_id", "island", "part").agg(rows.alias("rows")).select(
         "stream_id",
         F.col("rows")[0]["line_no"].alias("line_no"),
         F.array_join(F.transform("rows", lambda x: x["value"]), "\n").alias("value"),
         F.size("rows").alias("n_lines"),
     )
+    large = placed.where(F.col("total") >= GROUP_BYTES).select(
+        "stream_id", "line_no", F.coalesce(v, F.lit("")).alias("value"), "bytes", (F.col("place") > 0).cast("int").alias("goes"), F.array().cast("array<int>").alias("sources")
+    )
+    return grouped.unionByName(large.sortWithinPartitions("stream_id", "line_no").mapInPandas(cutter(), CUT))
 
 
 def drop_reason(raw: Column, line: Column, o: Options) -> Column:
@@ -73,7 +85,7 @@ def catalog(o: Options) -> dict[str, list[str]]:
 
 def scored(lines: DataFrame, o: Options, sources: bool = True) -> DataFrame:
     """What a row decides alone, and the boost of active sources; dropped rows stay, with their reason."""
-    df = group_lines(lines, o.multiline).withColumn("words", words(F.col("value"))).withColumn("bytes", F.octet_length("value").cast("long") + 1)
+    df = group_lines(lines, o.multiline, catalog(o)).withColumn("words", words(F.col("value"))).withColumn("bytes", F.octet_length("value").cast("long") + 1)
     raw, most = F.col("value"), max(1, int(o.max_line_length))
     df = df.withColumn("truncated", F.length(raw) > most)
     df = df.withColumn("shown", F.when(F.col("truncated"), F.concat(F.substring(raw, 1, most), F.lit("… [truncated]"))).otherwise(raw))
@@ -164,7 +176,7 @@ def report(lines: DataFrame, options: Options | None = None, estimate=None) -> D
     """One row of statistics for each stream, with its top sources. ``estimate(text)`` replaces the token estimate."""
     o = options or Options()
     stats = with_tokens(scored(lines, o).groupBy("stream_id").applyInPandas(_fold(o, "report", estimate), REPORT))
-    top = detection.ranked(detection.hits(group_lines(lines, o.multiline), catalog(o)))
+    top = detection.ranked(detection.hits(group_lines(lines, o.multiline, catalog(o)), catalog(o)))
     top = top.groupBy("stream_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "source"))), lambda x: x["source"]).alias("detected_sources"))
     return stats.join(top, "stream_id", "left").withColumn("detected_sources", F.coalesce("detected_sources", F.array().cast("array<string>")))
 
