@@ -60,7 +60,13 @@ def output_path(path: str) -> str:
 
 
 def is_log_path(path: Column) -> Column:
-    return path.rlike(r"(?i)\.(log|txt|out|err)$")
+    """If a path has the extension of a log, in lower case."""
+    return path.rlike(r"\.(log|txt|out|err|trace)\z")
+
+
+def is_reduced_path(path: Column) -> Column:
+    """If a path names what a run has written, so that it isn't reduced again."""
+    return path.contains(".distilled.") | path.endswith(".distilled")
 
 
 def event_lines(events: DataFrame) -> DataFrame:
