@@ -19,10 +19,12 @@ Candidates. An order-blind value is a bucket of classes. (1) Every class is pair
 its bucket's smallest class: a star, linear in the bucket, which joins large
 groups of copies. (2) Buckets that still hold several components are compared inside
 tasks, in blocks of ``BLOCK`` x ``BLOCK``, if they have up to ``LARGE`` classes.
-Classes of larger ones go to a bucket for each two large buckets that both hold them:
-passages that many texts share fill buckets, but similar texts share at least two.
-What is large even so is compared in blocks. Pairs of different components that agree in ``AGREE``
-values of either kind and whose sizes allow a link are candidates. Classes without a
+Passages that many texts share fill larger buckets. Their classes meet by their rarest
+shingles instead, with nothing lost: in one order of all shingles, two sets of a Jaccard
+similarity of 0.8 have a shingle in common among the first n - ceil(0.8 n) + 1 of each.
+These groups are compared in blocks whatever their size. Pairs of different components that
+share a bucket, agree in ``AGREE`` values of either kind and whose sizes allow a link are
+candidates, by whichever way they meet. Classes without a
 candidate leave; the rest get their texts, and the task checks the pairs and joins
 components as it goes, so it emits the edges of a forest, never the pairs.
 
@@ -55,10 +57,14 @@ BLOCK = 512
 #: Order-blind values first, then those of short texts (0 for others), then the ordered ones. The first two kinds are buckets.
 BUCKETS = 2 * SKETCHES
 VALUES = 3 * SKETCHES
-#: From here on blocks would copy a class more often than buckets of two do.
+#: Classes of buckets that have more than these meet by their rarest shingles.
 LARGE = BLOCK * BUCKETS // 2
 #: What a group of compared sketches is named by.
-PLACE = ["j", "j2", "key", "low", "high"]
+PLACE = ["j", "key", "low", "high"]
+#: The ``j`` of groups that share a rare shingle.
+RARE = BUCKETS
+#: Counters by which shingles are ordered.
+SLOTS = 1 << 20
 #: Similarity of at least NUM / DEN.
 NUM, DEN = 4, 5
 #: Words whose codes a Python worker keeps.
@@ -257,23 +263,23 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.nd
 class _Blocks:
     """Numpy columns of a table of groups and the candidate pairs of each group.
 
-    ``j`` is the column of a group's bucket, and ``j2`` that of its second one, or -1.
+    ``j`` is the column of a group's bucket, or RARE.
     ``large`` has a bit for each column whose bucket of the row is a large one.
     """
 
     def __init__(self, t: pa.Table):
-        self.j, self.j2, self.low, self.high, self.own, self.id, self.component, self.n, self.large = (
-            t.column(c).to_numpy() for c in ("j", "j2", "low", "high", "own", "id", "component", "n", "large")
+        self.j, self.low, self.high, self.own, self.id, self.component, self.n, self.large = (
+            t.column(c).to_numpy() for c in ("j", "low", "high", "own", "id", "component", "n", "large")
         )
         self.sketch = t.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, VALUES)
 
     def candidates(self, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows of the left and right block, and the matrix of candidates. Of the groups that hold a pair one tells it: its first small bucket, or where it has none its first two large ones."""
+        """Rows of the left and right block, and the matrix of candidates. A pair is told by its first small bucket, or where it has none by the rare shingles that it shares."""
         rows = np.arange(begin, end)
         one = self.low[begin] == self.high[begin]
         left = rows if one else rows[self.own[begin:end] == self.low[begin]]
         right = rows if one else rows[self.own[begin:end] == self.high[begin]]
-        j, j2 = int(self.j[begin]), int(self.j2[begin])
+        j = int(self.j[begin])
         nl, nr = self.n[left][:, None], self.n[right][None, :]
         ok = self.component[left][:, None] != self.component[right][None, :]
         ok &= DEN * np.minimum(nl, nr) >= NUM * np.maximum(nl, nr)
@@ -281,6 +287,7 @@ class _Blocks:
             ok &= self.id[left][:, None] < self.id[right][None, :]
         if ok.any():
             agree = np.zeros(ok.shape, dtype=np.uint8)
+            met = np.zeros(ok.shape, dtype=bool)
             bits = self.large[left]
             for c in range(VALUES):
                 mine = self.sketch[left, c][:, None]
@@ -289,12 +296,10 @@ class _Blocks:
                 if c >= BUCKETS:
                     continue
                 # An agreement is one bucket, so both rows have the same bit.
-                is_large = (bits >> c & 1).astype(bool)[:, None]
-                if j2 < 0 and c < j:
-                    ok &= ~same | is_large
-                elif j2 >= 0 and c not in (j, j2):
-                    ok &= ~same | is_large & (c > j2)
-            ok &= agree >= AGREE
+                met |= same
+                if c < j:
+                    ok &= ~same | (bits >> c & 1).astype(bool)[:, None]
+            ok &= met & (agree >= AGREE)
         return left, right, ok
 
 
@@ -359,18 +364,54 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
+def _rare(classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """key, id, component: the shingles of each of ``classes(id, component)`` of which two sets of a Jaccard similarity of NUM / DEN have one in common.
+
+    They are each set's first ones in an order that all classes share, so which order
+    it is matters for speed alone: shingles of few classes come first.
+    """
+    known = cut(classes.select("id", "component").join(texts, "id"))
+
+    def grams(text: str) -> np.ndarray:
+        return np.unique(shingles(word_codes(text)))
+
+    def counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, dtype=np.int64)
+        for b in slices(it, 128):
+            every = [grams(t) for t in b.column("text").to_pylist()]
+            total += np.bincount((np.concatenate(every) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["slot", "n"])
+
+    # Shingles of up to a block of classes come first in any order.
+    often = known.select("text").mapInArrow(counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK).toPandas()
+    slots, numbers = often["slot"].to_numpy(), often["n"].to_numpy()
+
+    def first(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(SLOTS, dtype=np.int64)
+        count[slots] = numbers
+        for b in slices(it, 128):
+            chosen = []
+            for text in b.column("text").to_pylist():
+                g = grams(text)
+                order = np.lexsort((g, count[(g % np.uint64(SLOTS)).astype(np.int64)]))
+                chosen.append(g[order[: len(g) - (NUM * len(g) + DEN - 1) // DEN + 1]].view(np.int64))
+            at = np.repeat(np.arange(len(chosen)), [len(x) for x in chosen])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(chosen)), b.column("id").take(pa.array(at)), b.column("component").take(pa.array(at))], names=["key", "id", "component"])
+
+    return known.mapInArrow(first, "key long, id long, component long")
+
+
 def _in_blocks(members: DataFrame, sk: DataFrame, texts: DataFrame) -> DataFrame:
     """Links that join different components within buckets, from members(j, key, id, component, size)."""
     is_large = F.col("size") > LARGE
-    small = members.where(~is_large).select("j", F.lit(-1).alias("j2"), "key", "id", "component", "size")
+    small = members.where(~is_large).select("j", "key", "id", "component", "size")
     # At most BUCKETS of them for each class.
-    lists = members.where(is_large).groupBy("id", "component").agg(F.sort_array(F.collect_list(F.struct("j", "key"))).alias("at"))
-    lists = cut(lists.withColumn("large", F.aggregate("at", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["j"])))))
-    first = lists.select("id", "component", "at", F.posexplode("at").alias("p", "x"))
-    second = first.select("id", "component", "x", F.explode(F.slice("at", F.col("p") + 2, F.size("at"))).alias("y"))
-    twos = second.select(F.col("x.j").alias("j"), F.col("y.j").alias("j2"), F.xxhash64("x.key", "y.key").alias("key"), "id", "component")
-    sizes = twos.groupBy("j", "j2", "key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("size")).where("c0 <> c1")
-    large = twos.join(sizes.drop("c0", "c1"), ["j", "j2", "key"]).select(small.columns)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("j"))
+    lists = cut(members.where(is_large).groupBy("id", "component").agg(F.bit_or(bit).alias("large")))
+    rare = lists.limit(0).select(F.lit(0).cast("long").alias("key"), "id", "component") if lists.isEmpty() else _rare(lists, texts)
+    sizes = rare.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("size")).where("c0 <> c1")
+    large = rare.join(sizes.drop("c0", "c1"), "key").select(F.lit(RARE).alias("j"), "key", "id", "component", "size")
 
     dealt = small.unionByName(large).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     dealt = dealt.join(lists.select("id", "large"), "id", "left").withColumn("large", F.coalesce("large", F.lit(0).cast("long")))
@@ -380,9 +421,9 @@ def _in_blocks(members: DataFrame, sk: DataFrame, texts: DataFrame) -> DataFrame
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(
-        "j", "j2", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "component", "n", "large", "sketch"
+        "j", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "component", "n", "large", "sketch"
     )
-    schema = "j int, j2 int, key long, low int, high int, own int, id long, component long, n int, large long, sketch array<int>"
+    schema = "j int, key long, low int, high int, own int, id long, component long, n int, large long, sketch array<int>"
     some = cut(dealt.repartition(*PLACE).sortWithinPartitions(*PLACE).mapInArrow(_with_candidates, schema))
     with_text = some.join(texts, "id").repartition(*PLACE).sortWithinPartitions(*PLACE)
     return with_text.mapInArrow(_forest, "a long, b long")

@@ -115,6 +115,30 @@ def test_large_buckets(spark, monkeypatch, large):
     assert check(spark, texts)[1] >= 60
 
 
+@pytest.mark.parametrize("large", [1, 10**6])
+def test_one_bucket(spark, monkeypatch, large):
+    """Linked texts that share one bucket, with others: they are found whatever a large bucket is."""
+    monkeypatch.setattr(om, "LARGE", large)
+    texts = []
+    for seed in (469512, 55341, 86751, 259701, 261376, 263914, 241535):
+        rng = random.Random(seed)
+        a = words(rng, 104).split()
+        at = rng.randrange(4, 93)
+        b = a[:at] + words(rng, 7).split() + a[at + 7 :]
+        x, y = (om.sketch(om.shingles(om.word_codes(" ".join(t)))) for t in (a, b))
+        same = np.flatnonzero((x == y) & (x != 0))
+        assert len(same) == om.AGREE and sum(same < om.BUCKETS) == 1
+        others = []
+        while len(others) < 12:
+            start, width = rng.randrange(60), rng.randint(24, 44)
+            t = " ".join(a[:start] + words(rng, 6).split() + a[start + width :])
+            if om.sketch(om.shingles(om.word_codes(t)))[same[0]] == x[same[0]] and not any(om.linked(t, u) for u in (*others, " ".join(a), " ".join(b))):
+                others.append(t)
+        texts += [" ".join(a), " ".join(b), *others]
+    want, links = check(spark, texts)
+    assert links == 7 and want == [i - (i % 14 == 1) for i in range(len(texts))]
+
+
 def test_repeated_and_null_ids(spark):
     rng = random.Random(2)
     a, b, c = (words(rng, 50) for _ in range(3))
