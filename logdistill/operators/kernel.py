@@ -103,10 +103,13 @@ def stamp_ms(line: str) -> float | None:
 
 
 class Group:
-    """Lines of one signature: the first, how many, and up to three values at each place that varies."""
+    """Lines of one signature: the first, how many, and up to three values at each place that varies. The first is taken apart when a second comes."""
 
     def __init__(self, line: str, score: float):
         self.line, self.score, self.count = line, score, 1
+
+    def _part(self) -> None:
+        line = self.line
         self.tokens = tokens(line)
         self.slots = {i: v for i, t in enumerate(self.tokens) if (v := variable(t, self.tokens[i - 1] if i else None))}
         self.values: dict[int, OrderedDict] = {}
@@ -114,6 +117,8 @@ class Group:
         self.first = self.last = stamp_ms(line)
 
     def add(self, line: str, score: float) -> None:
+        if self.count == 1:
+            self._part()
         ts = tokens(line)
         self.count, self.score = self.count + 1, max(self.score, score)
         for i, (prefix, value) in self.slots.items():

@@ -3,11 +3,12 @@ shuffle by stream, then either windows (static levels) or the fold (all options)
 
 from __future__ import annotations
 
+from collections import namedtuple
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import add, or_
-from types import SimpleNamespace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,9 +84,14 @@ def catalog(o: Options) -> dict[str, list[str]]:
     return detection.merged(detection.CATALOG, o.sources)
 
 
+def spread(lines: DataFrame) -> DataFrame:
+    """Lines dealt evenly over the tasks, for what costs more than to move them: a table can be few files or row groups, and a stream can be most of it."""
+    return lines.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "stream_id", "line_no").select("stream_id", "line_no", "value")
+
+
 def scored(lines: DataFrame, o: Options, sources: bool = True) -> DataFrame:
     """What a row decides alone, and the boost of active sources; dropped rows stay, with their reason."""
-    df = group_lines(lines, o.multiline, catalog(o)).withColumn("words", words(F.col("value"))).withColumn("bytes", F.octet_length("value").cast("long") + 1)
+    df = group_lines(spread(lines) if sources and o.multiline == "off" else lines, o.multiline, catalog(o)).withColumn("words", words(F.col("value"))).withColumn("bytes", F.octet_length("value").cast("long") + 1)
     raw, most = F.col("value"), max(1, int(o.max_line_length))
     df = df.withColumn("truncated", F.length(raw) > most)
     df = df.withColumn("shown", F.when(F.col("truncated"), F.concat(F.substring(raw, 1, most), F.lit("… [truncated]"))).otherwise(raw))
@@ -120,45 +126,81 @@ def scored(lines: DataFrame, o: Options, sources: bool = True) -> DataFrame:
     return df.select([c.split()[0] for c in SCORED.split(", ")])
 
 
-def _fold(o: Options, what: str, estimate=None):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line_no")
-        stream = pdf["stream_id"].iat[0]
-        names = list(pdf.columns)
-        rows = (
-            SimpleNamespace(**{k: None if v is None or v is pd.NA or (isinstance(v, float) and v != v) else v for k, v in zip(names, r)})
-            for r in pdf.itertuples(index=False, name=None)
-        )
-        r = Reducer(o, estimate).run(rows)
-        if what == "decisions":
-            out = pd.DataFrame(r.decisions, columns=["line_no", "sanitized", "reason", "kept", "dropped", "hard_keep", "repeated", "score"])
-            out["line_no"] = pd.to_numeric(out["line_no"], errors="coerce").astype("Int64")
-            out.insert(0, "seq", range(len(out)))
-        elif what == "report":
-            out = pd.DataFrame([{c: r.stats[c] for c in COUNTERS} | {
-                "detected_format": r.format, "own_input_tokens": r.stats["input_tokens"] if estimate else None, "own_output_tokens": r.stats["output_tokens"] if estimate else None,
-            }])
-            for c in ("own_input_tokens", "own_output_tokens"):
-                out[c] = out[c].astype("Int64")
-        else:
-            out = pd.DataFrame({"out_no": range(len(r.out)), "text": pd.Series([t for t, _ in r.out], dtype=object), "score": pd.Series([x for _, x in r.out], dtype=float)})
-            out["tokens"] = pd.Series([r.price(t) for t, _ in r.out], dtype="int64")
-        out.insert(0, "stream_id", stream)
-        texts = [c for c in ("stream_id", "text", "sanitized", "reason", "detected_format") if c in out]
-        return out.astype({c: object for c in texts})  # an empty column would have no text type
+#: Rows of a batch that the fold gives out; one stream's end can add to it.
+FOLDED = 10_000
+_ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+
+
+def _fold(o: Options, what: str, schema: str, estimate=None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for ``mapInArrow`` over scored rows, sorted by stream and line. Holds a batch, and of a stream what its fold holds; decisions leave it with each batch."""
+    fields = pa.schema([(name, _ARROW[kind]) for name, kind in (c.split() for c in schema.split(", "))])
+
+    def result(stream: str | None, r: Reducer) -> list[tuple]:
+        if what == "report":
+            own = (r.stats["input_tokens"], r.stats["output_tokens"]) if estimate else (None, None)
+            return [(stream, *(r.stats[c] for c in COUNTERS), r.format, *own)]
+        return [(stream, i, text, float(score), r.price(text)) for i, (text, score) in enumerate(r.out)] if what == "output" else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r, stream, told, out, unnumbered = None, None, 0, [], []
+
+        def drain() -> None:
+            nonlocal told
+            if what == "decisions":
+                out.extend((stream, told + i, *d[:7], None if d[7] is None else float(d[7])) for i, d in enumerate(r.decisions))
+                told += len(r.decisions)
+            r.decisions.clear()
+
+        def end() -> None:
+            for row in unnumbered:
+                r.push(row)
+            unnumbered.clear()
+            r.close()
+            drain()
+            out.extend(result(stream, r))
+
+        def given() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), fields)], schema=fields)
+            out.clear()
+            return batch
+
+        for batch in batches:
+            made = namedtuple("Row", batch.schema.names)._make
+            for row in map(made, zip(*(c.to_pylist() for c in batch.columns))):
+                if r is None or row.stream_id != stream:
+                    if r is not None:
+                        end()
+                    if len(out) >= FOLDED:
+                        yield given()
+                    r, stream, told = Reducer(o, estimate), row.stream_id, 0
+                # Lines without a number come last.
+                unnumbered.append(row) if row.line_no is None else r.push(row)
+            if r is not None:
+                drain()
+            if len(out) >= FOLDED:
+                yield given()
+        if r is not None:
+            end()
+        if out:
+            yield given()
 
     return run
 
 
+def folded(lines: DataFrame, o: Options, what: str, schema: str, estimate=None) -> DataFrame:
+    """The fold over each stream's rows. They are dealt by stream and sorted already, so this adds no shuffle and no sort; the text goes along only for an estimate."""
+    rows = scored(lines, o)
+    rows = rows if estimate else rows.drop("value")
+    return rows.repartition("stream_id").sortWithinPartitions("stream_id", "line_no").mapInArrow(_fold(o, what, schema, estimate), schema)
+
+
 def reduce_lines(lines: DataFrame, options: Options | None = None, estimate=None) -> DataFrame:
     """Reduced lines: stream_id, out_no, text, score, tokens. Streams run in parallel; one stream is ordered, so it is one task. ``estimate(text)`` replaces the token estimate, for the budget too."""
-    o = options or Options()
-    return scored(lines, o).groupBy("stream_id").applyInPandas(_fold(o, "output", estimate), OUTPUT)
+    return folded(lines, options or Options(), "output", OUTPUT, estimate)
 
 
 def decisions(lines: DataFrame, options: Options | None = None) -> DataFrame:
-    o = options or Options()
-    return scored(lines, o).groupBy("stream_id").applyInPandas(_fold(o, "decisions"), DECISIONS)
+    return folded(lines, options or Options(), "decisions", DECISIONS)
 
 
 def with_tokens(report: DataFrame) -> DataFrame:
@@ -175,7 +217,7 @@ def with_tokens(report: DataFrame) -> DataFrame:
 def report(lines: DataFrame, options: Options | None = None, estimate=None) -> DataFrame:
     """One row of statistics for each stream, with its top sources. ``estimate(text)`` replaces the token estimate."""
     o = options or Options()
-    stats = with_tokens(scored(lines, o).groupBy("stream_id").applyInPandas(_fold(o, "report", estimate), REPORT))
+    stats = with_tokens(folded(lines, o, "report", REPORT, estimate))
     top = detection.ranked(detection.hits(group_lines(lines, o.multiline, catalog(o)), catalog(o)))
     top = top.groupBy("stream_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "source"))), lambda x: x["source"]).alias("detected_sources"))
     return stats.join(top, "stream_id", "left").withColumn("detected_sources", F.coalesce("detected_sources", F.array().cast("array<string>")))
